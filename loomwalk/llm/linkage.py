@@ -36,7 +36,7 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).dropDuplicates())
 
 
-def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], finish: Callable[[DataFrame], DataFrame] | None = None, most: int = 32) -> tuple[DataFrame, DataFrame]:
     """(links, components) of the nodes that share a bucket and pass ``verify``.
 
     ``buckets``: distinct rows (bucket, node).  ``verify`` takes candidate pairs (a, b) and returns those that are linked.
@@ -44,6 +44,9 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -
     then lie in one component is done: further links inside it would change nothing.  In what is left, the next members lead, and are
     compared with the later members of other components, until no bucket is left or all members have led.  So no link
     that would join two components is lost, a bucket of near copies costs one pair per member, and nothing is capped.
+
+    ``finish`` may take over the unfinished buckets of more than ``most`` members after the first round, as rows (bucket, node); it
+    returns links (a, b) that connect what is linked inside each bucket, without a row per pair.
     """
     live = cut(buckets, "buckets")
     size = live.groupBy("bucket").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -58,6 +61,10 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -
         live = cut(tagged.join(apart, "bucket", "left_semi"), "buckets")
         if live.isEmpty():
             return links, comp
+        if finish is not None and low == 1:
+            more = finish(live.where(F.col("c") > most).select("bucket", "node"))
+            links = cut(links.unionByName(more.select("a", "b")).dropDuplicates(), "links")
+            live = live.where(F.col("c") <= most)
         high = LEADERS[k] if k < len(LEADERS) else low * 8
         rank = F.row_number().over(W.partitionBy("bucket").orderBy("node"))
         lead = live.select("bucket", "node", "component", rank.alias("r")).where(F.col("r") <= high).where(F.col("r") > low)

@@ -88,6 +88,62 @@ def _sets(shingle: int):
     return make
 
 
+#: Shingles (with a floor for each document) in one side of a block of a large bucket.
+BLOCK_SHINGLES = 1 << 20
+
+
+def _spanning_links(offsets: np.ndarray, values: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that connect the sets ``values[offsets[i]:offsets[i + 1]]`` whose Jaccard similarity is high enough, at most one per set."""
+    m, sizes = len(offsets) - 1, np.diff(offsets)
+    _, ident, count = np.unique(values, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(m), sizes)
+    shared = count[ident] > 1
+    ident, owner = ident[shared], owner[shared]
+    order = np.argsort(ident, kind="stable")
+    posting, first = owner[order], np.searchsorted(ident[order], np.arange(len(count) + 1))
+    mine = np.searchsorted(owner, np.arange(m + 1))
+    root = list(range(m))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for i in range(m - 1):
+        s = ident[mine[i] : mine[i + 1]]
+        n = first[s + 1] - first[s]
+        if not len(n):
+            continue
+        at = np.repeat(first[s] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(posting[at], minlength=m)[i + 1 :]
+        for j in np.flatnonzero(100 * both >= percent * (sizes[i] + sizes[i + 1 :] - both)) + i + 1:
+            a, b = find(i), find(int(j))
+            if a != b:
+                root[b] = a
+                out.append((i, int(j)))
+    return out
+
+
+def _linked_in_blocks(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) inside large buckets (bucket, node): members are dealt into blocks of bounded size, each pair of blocks is one
+    group, and a group answers with a spanning forest of its links.  All pairs are compared, none is a row."""
+    members = live.join(sets.select("node", "n", "hashes"), "node")
+    blocks = members.groupBy("bucket").agg(F.ceil(F.sum(F.col("n") + 1024) / BLOCK_SHINGLES).cast("int").alias("k"))
+    placed = members.join(blocks, "bucket").withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    dealt = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("bucket", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "node", "hashes")
+
+    def run(table: pa.Table) -> pa.Table:
+        nodes = table.column("node").to_pylist()
+        hashes = pa.concat_arrays(table.column("hashes").chunks)
+        offsets = hashes.offsets.to_numpy()
+        links = _spanning_links(offsets - offsets[0], hashes.flatten().to_numpy(), percent)
+        return pa.table({"a": pa.array([nodes[i] for i, _ in links], pa.binary()), "b": pa.array([nodes[j] for _, j in links], pa.binary())})
+
+    return dealt.groupBy("bucket", "lo", "hi").applyInArrow(run, "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, *, percent: int = 85, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: (doc_id, n_shingles, component_id, kept).
 
@@ -130,7 +186,10 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, shingle: int = SHINGL
         full = able.join(right, "b").join(left, "a").select("a", "b", "na", "nb", both.alias("both"))
         return full.where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("both")))
 
-    _, comp = link_buckets(buckets, verify)
+    def finish(live: DataFrame) -> DataFrame:
+        return _linked_in_blocks(live, sets, percent)
+
+    _, comp = link_buckets(buckets, verify, finish)
     named = classes.select("node", "rep").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "component").select("node", "component_id")
