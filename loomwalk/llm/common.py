@@ -113,17 +113,19 @@ def bitmap_of(keys: DataFrame, key: Column, bits: int) -> DataFrame:
     )
 
 
-def maybe_in(df: DataFrame, key: Column, bitmap: DataFrame, bits: int) -> DataFrame:
-    """Rows whose key may be in the bitmap (no false negatives): a broadcast of fixed size in front of an exact join."""
+def flag_in(df: DataFrame, key: Column, bitmap: DataFrame, bits: int, name: str = "__maybe") -> DataFrame:
+    """``df`` with a boolean: whether the key may be in the bitmap (no false negatives).  The bitmap is a broadcast of fixed size."""
     slot = F.pmod(F.xxhash64(key), F.lit(1 << bits))
     bm = bitmap.select(F.col("bucket").alias("__bucket"), F.col("bitmap").alias("__bitmap"))
     pos = F.bitmap_bit_position(slot)
     byte = F.conv(F.hex(F.col("__bitmap").substr((pos / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return (
-        df.join(F.broadcast(bm), F.bitmap_bucket_number(slot) == F.col("__bucket"))
-        .where(F.getbit(byte, F.pmod(pos, F.lit(8)).cast("int")) == 1)
-        .drop("__bucket", "__bitmap")
-    )
+    hit = F.getbit(byte, F.pmod(pos, F.lit(8)).cast("int")) == 1
+    return df.join(F.broadcast(bm), F.bitmap_bucket_number(slot) == F.col("__bucket"), "left").withColumn(name, F.coalesce(hit, F.lit(False))).drop("__bucket", "__bitmap")
+
+
+def maybe_in(df: DataFrame, key: Column, bitmap: DataFrame, bits: int) -> DataFrame:
+    """Rows whose key may be in the bitmap: what stands in front of an exact join, so that the other rows are not shuffled."""
+    return flag_in(df, key, bitmap, bits).where("__maybe").drop("__maybe")
 
 
 def utf8(texts: pa.Array) -> tuple[memoryview, "object"]:
