@@ -6,6 +6,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,36 +26,52 @@ END_ID = 1
 class WordEncoder:
     """The tokenizers library behind a bounded memo of words.
 
-    The vocabulary's normaliser and splitter never join characters across ASCII white space, so a text's ids are those of its words.
+    The vocabulary's normaliser lower-cases, and neither it nor the splitter joins characters across ASCII white space, so a text's ids are
+    those of its lower-cased words.  Words that the memo lacks are encoded together, with a separator word of one token between them.
     """
 
-    def __init__(self, vocabulary: str, most: int = 400_000):
+    def __init__(self, vocabulary: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(vocabulary)
         self.tok.encode_special_tokens = True
-        self.memo: dict[bytes, list[int]] = {}
+        self.memo: dict[bytes, bytes] = {}
         self.most = most
-        self.dtype = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        words = [t.split() for t in texts]
+        self.dtype = np.dtype(np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32)
+        self.mark = "~"
+        (self.mark_id,) = self._ids(self.mark)
+        self.end = np.array([END_ID], self.dtype).tobytes()
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tok.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, words: list[bytes]) -> None:
+        mark = self.mark.encode()
+        for i in range(0, len(words), 2048):
+            part = [w for w in words[i : i + 2048] if mark not in w]
+            ids = np.array(self._ids(f" {self.mark} ".join([*(w.decode() for w in part), ""])), self.dtype)
+            ends = np.flatnonzero(ids == self.mark_id)
+            if len(ends) == len(part):
+                raw, n = ids.tobytes(), self.dtype.itemsize
+                a = 0
+                for w, e in zip(part, ends.tolist()):
+                    self.memo[w] = raw[a * n : e * n]
+                    a = e + 1
+        for w in words:
+            if w not in self.memo:
+                self.memo[w] = np.array(self._ids(w.decode()), self.dtype).tobytes()
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text, and the end id, as bytes of ``dtype``."""
+        words = [t.lower().split() for t in texts]
         memo = self.memo
         new = list({w for ws in words for w in ws if w not in memo})
         if len(memo) + len(new) > self.most:
             memo.clear()
             new = list({w for ws in words for w in ws})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            memo.update(zip(part, (e.ids for e in self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False))))
-        out = []
-        for ws in words:
-            ids: list[int] = []
-            for w in ws:
-                ids += memo[w]
-            ids.append(END_ID)
-            out.append(np.array(ids, self.dtype))
-        return out
+        self._learn(new)
+        get = memo.__getitem__
+        return [b"".join(map(get, ws)) + self.end for ws in words]
 
 
 @lru_cache(maxsize=2)
@@ -199,7 +216,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, *, vocabulary: s
         def run(texts: pa.Array) -> list[pa.Array]:
             body, off = utf8(texts)
             rows = enc.encode([bytes(body[a:b]) for a, b in zip(off[:-1], off[1:])])
-            return [pa.array([r.tobytes() for r in rows], pa.binary())]
+            return [pa.array(rows, pa.binary())]
 
         return run
 
@@ -255,8 +272,9 @@ def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for uri, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows = [(i, base + s, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for i, s, ids in SequenceFile(uri).documents()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                rows = ((i, base + s, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for i, s, ids in SequenceFile(uri).documents())
+                while part := list(islice(rows, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     parts = max(1, min(manifest.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     return manifest.select("file", "base", "part").repartitionById(parts, F.pmod("part", F.lit(parts))).select("file", "base").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
