@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, chat, decontaminate, exact_dedup, licenses, line_dedup, minhash, token_files, toxicity
+from . import bytebpe, chat, decontaminate, exact_dedup, licenses, line_dedup, lm, minhash, token_files, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(_read(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_read(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -48,4 +52,4 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, manifest)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op3_minhash_dedup, op4_chat_format, op5_byte_bpe, op6_toxicity, op7_line_dedup, op9_decontaminate, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op3_minhash_dedup, op4_chat_format, op5_byte_bpe, op6_toxicity, op7_line_dedup, op8_lm_scoring, op9_decontaminate, op10_token_files)}
