@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -23,54 +24,111 @@ BATCH = 256
 END_ID = 1
 
 
+#: Words of lower-case Latin letters, and perhaps one mark after them: the splitter makes one piece of the letters and one of the mark.
+_PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
+
+
 class WordEncoder:
-    """The tokenizers library behind a bounded memo of words.
+    """The tokenizers library behind a memo of words, bounded by two generations of ``most`` words.
 
     The vocabulary's normaliser lower-cases, and neither it nor the splitter joins characters across ASCII white space, so a text's ids are
-    those of its lower-cased words.  Words that the memo lacks are encoded together, with a separator word of one token between them.
+    those of its lower-cased words.  Plain words that the memo lacks skip the splitter; other words are encoded
+    together, with a separator word of one token between them.
     """
 
-    def __init__(self, vocabulary: str, most: int = 1_000_000):
+    def __init__(self, vocabulary: str, most: int = 300_000):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tok = Tokenizer.from_file(vocabulary)
         self.tok.encode_special_tokens = True
         self.memo: dict[bytes, bytes] = {}
+        self.last: dict[bytes, bytes] = {}
         self.most = most
         self.dtype = np.dtype(np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32)
         self.mark = "~"
         (self.mark_id,) = self._ids(self.mark)
         self.end = np.array([END_ID], self.dtype).tobytes()
+        self.plain = Tokenizer.from_file(vocabulary)  # the same model; words need no normaliser and no splitter but for white space
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.last_piece = np.zeros(self.tok.get_vocab_size(), bool)
+        self.last_piece[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
+        probe = ["grüße", "ça", "naïve", "ÿ", "a", "the", "queauxß"]
+        self.fast = self._letters(probe) == [self._raw(w) for w in probe]
 
     def _ids(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
+    def _raw(self, text: str) -> bytes:
+        return np.array(self._ids(text), self.dtype).tobytes()
+
+    def _letters(self, words: list[str]) -> list[bytes] | None:
+        """The ids of words of lower-case Latin letters; none if the model doesn't end words with a piece of their own."""
+        parts = [" ".join(words[i : i + 1024]) for i in range(0, len(words), 1024)]
+        out, n = [], self.dtype.itemsize
+        for e in self.plain.encode_batch_fast(parts, add_special_tokens=False):
+            ids = np.array(e.ids, self.dtype)
+            raw, a = ids.tobytes(), 0
+            for b in ((np.flatnonzero(self.last_piece[ids]) + 1) * n).tolist():
+                out.append(raw[a:b])
+                a = b
+        return out if len(out) == len(words) else None
+
     def _learn(self, words: list[bytes]) -> None:
+        memo, rest, tailed, letters = self.memo, [], [], {}
+        match = _PLAIN.fullmatch
+        for w, s in zip(words, b" ".join(words).decode().split(" ") if self.fast else ()):
+            if (m := match(s)) is None:
+                rest.append(w)
+            elif m.end(1) == len(s):
+                letters[s] = w
+            else:
+                tailed.append((w, m[1], m[2]))
+        fresh = {s: None for _, s, _ in tailed if s not in letters and s.encode() not in memo}
+        new = [*letters, *fresh]
+        ids = dict(zip(new, self._letters(new) or map(self._raw, new)))
+        for s, w in letters.items():
+            memo[w] = ids[s]
+        for w, s, tail in tailed:
+            memo[w] = (ids[s] if s in ids else memo[s.encode()]) + self._marks(tail)
+        if not self.fast:
+            rest = words
         mark = self.mark.encode()
-        for i in range(0, len(words), 2048):
-            part = [w for w in words[i : i + 2048] if mark not in w]
+        for i in range(0, len(rest), 2048):
+            part = [w for w in rest[i : i + 2048] if mark not in w]
             ids = np.array(self._ids(f" {self.mark} ".join([*(w.decode() for w in part), ""])), self.dtype)
             ends = np.flatnonzero(ids == self.mark_id)
             if len(ends) == len(part):
                 raw, n = ids.tobytes(), self.dtype.itemsize
                 a = 0
                 for w, e in zip(part, ends.tolist()):
-                    self.memo[w] = raw[a * n : e * n]
+                    memo[w] = raw[a * n : e * n]
                     a = e + 1
-        for w in words:
-            if w not in self.memo:
-                self.memo[w] = np.array(self._ids(w.decode()), self.dtype).tobytes()
+        for w in rest:
+            if w not in memo:
+                memo[w] = self._raw(w.decode())
+
+    @lru_cache(maxsize=64)
+    def _marks(self, mark: str) -> bytes:
+        return self._raw(mark)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, and the end id, as bytes of ``dtype``."""
         words = [t.lower().split() for t in texts]
-        memo = self.memo
-        new = list({w for ws in words for w in ws if w not in memo})
-        if len(memo) + len(new) > self.most:
-            memo.clear()
-            new = list({w for ws in words for w in ws})
+        every = set().union(*words)
+        new = [w for w in every if w not in self.memo]
+        if len(self.memo) + len(new) > self.most:  # a new generation; what is still in use comes over from the last one
+            self.last, self.memo = self.memo, {}
+            new = list(every)
+        if self.last:
+            last, memo = self.last.get, self.memo
+            for w in new:
+                if (ids := last(w)) is not None:
+                    memo[w] = ids
+            new = [w for w in new if w not in memo]
         self._learn(new)
-        get = memo.__getitem__
+        get = self.memo.__getitem__
         return [b"".join(map(get, ws)) + self.end for ws in words]
 
 
