@@ -8,16 +8,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bitmap_of, cut, flag_in, maybe_in
-from .linkage import link_buckets
+from .linkage import link_buckets, shared_buckets
 
-#: A line is at most so many characters; a longer one is cut into lines of this length.  So it has at most 250 words, and 9 bits count them.
+#: A line is at most so many characters; a longer one is cut into lines of this length.
 LINE_CHARS = 500
 #: Lines of fewer words are never dropped: they repeat by chance.
 MIN_WORDS = 5
-#: SimHashes of linked lines differ in at most so many bits; their edit similarity is at least SIMILARITY percent.
+#: SimHashes of linked lines differ in at most so many bits; their edit similarity, in words, is at least SIMILARITY percent.
 MAX_BITS, SIMILARITY = 2, 80
+#: A line's features are its longest distinct words, which are rarely common ones.  An edit elsewhere in the line leaves the SimHash as it is.
+FEATURES = 7
 _BLOCKS = 4
 BITMAP_BITS = 25
+#: Counters of three bits, 21 to a long; each counts to FEATURES.
+_ONES = sum(1 << 3 * i for i in range(21))
+#: What is no letter or digit in lower-cased ASCII, one by one: a class of single characters is a table look-up.
+_BREAK = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
+
+
+def _once(df: DataFrame, keep: list[str], value: Column, name: str) -> DataFrame:
+    """``df`` with a column that later filters read but don't compute again: predicates are not pushed through a generator."""
+    return df.select(*keep, F.explode(F.array(value)).alias(name))
 
 
 def lines_of(text: Column) -> Column:
@@ -25,83 +36,94 @@ def lines_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"[^\n]{{1,{LINE_CHARS}}}\n?|\n"), F.lit(0))
 
 
-def normal_line(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
+def words_of(line: Column) -> Column:
+    """The words of a line: runs of letters, digits and non-ASCII characters, lower-cased."""
+    return F.array_remove(F.split(F.lower(line), _BREAK), "")
+
 
+def simhash(features: Column) -> Column:
+    """Bit j of 63 is set if more than half of the features (at most seven longs) have it set.
 
-def _lanes(tokens: Column) -> list[Column]:
-    """Nine longs of seven 9-bit counters: how many token hashes have each of the low 63 bits set."""
-    ones = F.lit(sum(1 << 9 * i for i in range(7))).cast("long")
-    hashes = F.transform(tokens, lambda x: F.xxhash64(x))
-    add = lambda k: lambda a, h: a + F.shiftrightunsigned(h, k).bitwiseAND(ones)
-    return [F.aggregate(hashes, F.lit(0).cast("long"), add(k)) for k in range(9)]
+    Three longs of three-bit counters start at a bias, such that more than half of the features bring a counter to four or more, its third bit."""
+    ones = F.lit(_ONES).cast("long")
+    start = ones * (3 - F.floor(F.size(features) / 2))
+    lane = lambda k: lambda a, h: a + F.shiftrightunsigned(h, k).bitwiseAND(ones)
+    out = F.lit(0).cast("long")
+    for k in range(3):
+        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.aggregate(features, start, lane(k)), 2).bitwiseAND(ones), k))
+    return out
 
 
-def with_simhash(df: DataFrame, tokens: str) -> DataFrame:
-    """``df`` with ``simhash``: bit j of 63 is set if more than half of the tokens' hashes have it set."""
-    df = df.withColumns({f"__lane{k}": c for k, c in enumerate(_lanes(F.col(tokens)))})
-    bits = F.lit(0).cast("long")
-    for k in range(9):
-        for i in range(7):
-            count = F.shiftrightunsigned(F.col(f"__lane{k}"), 9 * i).bitwiseAND(F.lit(511).cast("long"))
-            bits = bits.bitwiseOR(F.when(count * 2 > F.size(tokens), F.lit(1 << (9 * i + k)).cast("long")).otherwise(F.lit(0).cast("long")))
-    return df.withColumn("simhash", bits).drop(*[f"__lane{k}" for k in range(9)])
+def features_of(words: Column) -> Column:
+    """Hashes of the seven longest distinct words; of equally long ones, those with the least hashes."""
+    short = lambda w: F.shiftleft((127 - F.least(F.octet_length(w), F.lit(127))).cast("long"), 56)
+    key = lambda w: short(w).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
+    return F.transform(F.slice(F.sort_array(F.array_distinct(F.transform(words, key))), 1, FEATURES), lambda k: F.xxhash64(k))
 
 
-def _blocks(simhash: Column) -> Column:
+def _blocks(bits: Column) -> Column:
     """Keys of the pigeonhole blocks: hashes that differ in two bits agree in two of four 16-bit blocks at least."""
-    block = [F.shiftrightunsigned(simhash, 16 * i).bitwiseAND(F.lit(0xFFFF).cast("long")) for i in range(_BLOCKS)]
+    block = [F.shiftrightunsigned(bits, 16 * i).bitwiseAND(F.lit(0xFFFF).cast("long")) for i in range(_BLOCKS)]
     pairs = combinations(range(_BLOCKS), _BLOCKS - MAX_BITS)
     return F.array(*[F.lit(n << 32).cast("long") + block[i] * 65536 + block[j] for n, (i, j) in enumerate(pairs)])
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, norm) of the lines of (doc_id, text) that have enough words."""
+    """(doc_id, pos, words) of the lines of (doc_id, text) that have enough words."""
     lines = docs.select("doc_id", F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
     # A repeated line comes in many documents and a long text has many lines: rows, not arrays, from here on.
-    return lines.select("doc_id", "pos", normal_line(F.col("line")).alias("norm")).where(F.length("norm") >= 2 * MIN_WORDS - 1)
+    return _once(lines, ["doc_id", "pos"], words_of(F.col("line")), "words").where(F.size("words") >= MIN_WORDS)
+
+
+def _node(words: Column) -> Column:
+    return F.unhex(F.md5(F.array_join(words, " ").cast("binary")))
 
 
-def _node(norm: Column) -> Column:
-    return F.unhex(F.md5(norm.cast("binary")))
+def _code(words: Column) -> Column:
+    """The words as characters, 16 bits of a hash each: edit distances of such strings count words."""
+    return F.decode(F.unhex(F.array_join(F.transform(words, lambda w: F.hex(F.pmod(F.xxhash64(w), F.lit(50_000)) + 4096)), "")), "UTF-16BE")
 
 
 def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, drop): for each document with lines to drop, their sorted 0-based numbers."""
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    words = _occurrences(src).select("doc_id", "pos", _node(F.col("norm")).alias("node"), F.split("norm", " ").alias("words")).where(F.size("words") >= MIN_WORDS)
-    rows = cut(with_simhash(words, "words").select("doc_id", "pos", "node", "simhash"), "line-rows")
+    found = _once(_occurrences(src).select("doc_id", "pos", _node(F.col("words")).alias("node"), "words"), ["doc_id", "pos", "node"], features_of(F.col("words")), "features")
+    rows = cut(found.select("doc_id", "pos", "node", simhash(F.col("features")).alias("simhash")), "line-rows")
     classes = cut(rows.groupBy("node").agg(F.min("simhash").alias("simhash"), F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")), "line-classes")
-    buckets = classes.select("node", F.explode(_blocks(F.col("simhash"))).alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
-    buckets = cut(buckets.join(shared, "bucket", "left_semi"), "line-buckets")
+    buckets = shared_buckets(classes.select("node", F.explode(_blocks(F.col("simhash"))).alias("bucket")), "line-buckets")
     wanted = cut(buckets.select("node").dropDuplicates().join(classes, "node").select("node", "simhash", F.coalesce("first.doc_id", F.lit(-1)).alias("home")), "line-wanted")
     homes = maybe_in(src.withColumn("home", F.coalesce("doc_id", F.lit(-1))), F.col("home"), bitmap_of(wanted, F.col("home"), BITMAP_BITS), BITMAP_BITS)
-    found = _occurrences(homes.select(F.col("home").alias("doc_id"), "text")).select(F.col("doc_id").alias("home"), _node(F.col("norm")).alias("node"), "norm").dropDuplicates(["home", "node"])
-    texts = cut(found.join(wanted, ["node", "home"]).dropDuplicates(["node"]).select("node", "simhash", "norm"), "line-texts")
+    again = _once(_occurrences(homes.select(F.col("home").alias("doc_id"), "text")).select(F.col("doc_id").alias("home"), "words"), ["home", "words"], _node(F.col("words")), "node")
+    near = maybe_in(again, F.col("node"), bitmap_of(wanted, F.col("node"), BITMAP_BITS), BITMAP_BITS).select("home", "node", _code(F.col("words")).alias("code"))
+    texts = cut(near.join(wanted, ["node", "home"]).dropDuplicates(["node"]).select("node", "simhash", "code"), "line-texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda x: texts.select(F.col("node").alias(x), F.col("simhash").alias(f"s{x}"), F.col("norm").alias(f"t{x}"))
+        side = lambda x: texts.select(F.col("node").alias(x), F.col("simhash").alias(f"s{x}"), F.col("code").alias(f"t{x}"))
         longer = F.greatest(F.length("ta"), F.length("tb"))
         close = pairs.join(side("a"), "a").join(side("b"), "b").where(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= MAX_BITS)
         close = close.where(F.least(F.length("ta"), F.length("tb")) * 100 >= longer * SIMILARITY)
         return close.where((longer - F.levenshtein("ta", "tb")) * 100 >= longer * SIMILARITY).select("a", "b")
 
     _, comp = link_buckets(buckets, verify)
-    grouped = classes.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    keeper = grouped.groupBy("component").agg(F.sum("n").alias("total"), F.min("first").alias("keep")).where("total > 1").select("component", "keep")
-    keep = grouped.select("node", "component").join(keeper, "component").select("node", "keep")
+    # Only lines that are linked or occur twice matter from here on.
+    linked = maybe_in(classes, F.col("node"), bitmap_of(comp, F.col("node"), BITMAP_BITS), BITMAP_BITS).join(comp, "node")
+    alone = classes.where("n > 1").join(comp, "node", "left_anti").withColumn("component", F.col("node"))
+    grouped = cut(linked.select("node", "n", "first", "component").unionByName(alone.select("node", "n", "first", "component")), "line-groups")
+    keeper = grouped.groupBy("component").agg(F.min("first").alias("keep"))
+    keep = cut(grouped.select("node", "component").join(keeper, "component").select("node", "keep"), "line-keep")
     # A common line is a common key of this join, whose rows are a few bytes; skewed keys are split at run time.
-    gone = rows.join(keep, "node").where(~F.struct("doc_id", "pos").eqNullSafe(F.col("keep")))
+    near = maybe_in(rows.select("doc_id", "pos", "node"), F.col("node"), bitmap_of(keep, F.col("node"), BITMAP_BITS), BITMAP_BITS)
+    gone = near.join(keep, "node").where(~F.struct("doc_id", "pos").eqNullSafe(F.col("keep")))
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``text`` less its repeated lines, and (n_lines, n_dropped) added.
 
-    A line is a run up to a line end, of at most 500 characters (longer ones are cut).  Lines are compared after lower-casing and turning
-    runs of ASCII other than letters and digits into one space; those of fewer than five words always stay.  Two lines are
-    linked if they are equal, or if their SimHashes differ in at most 2 of 63 bits and their edit similarity is at least 0.8.
+    A line is a run up to a line end, of at most 500 characters (longer ones are cut).  Lines are compared by their lower-cased words: runs of
+    letters, digits and non-ASCII characters; those of fewer than five words always stay.  Two lines are linked if they have the same
+    words, or if their SimHashes differ in at most 2 of 63 bits and their edit similarity, counted in words, is at least 0.8.  A
+    SimHash is taken over a line's seven longest distinct words.
     Of each connected group the occurrence with the smallest (id, line number) stays; all others go, also within one document.
 
     Null texts count as empty and stay null; empty texts have no lines.  Rows that repeat an id are taken as one document and treated alike; a null id sorts

@@ -36,10 +36,16 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).dropDuplicates())
 
 
-def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], finish: Callable[[DataFrame], DataFrame] | None = None, most: int = 32) -> tuple[DataFrame, DataFrame]:
+def shared_buckets(buckets: DataFrame, name: str = "buckets") -> DataFrame:
+    """Of rows (bucket, node), those whose bucket has several nodes, as (bucket, node, lead: its smallest node, c: its size); written out."""
+    size = buckets.groupBy("bucket").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    return cut(buckets.join(size, "bucket").select("bucket", "node", "lead", "c"), name)
+
+
+def link_buckets(live: DataFrame, verify: Callable[[DataFrame], DataFrame], finish: Callable[[DataFrame], DataFrame] | None = None, most: int = 32) -> tuple[DataFrame, DataFrame]:
     """(links, components) of the nodes that share a bucket and pass ``verify``.
 
-    ``buckets``: distinct rows (bucket, node).  ``verify`` takes candidate pairs (a, b) and returns those that are linked.
+    ``live``: what :func:`shared_buckets` makes of distinct rows (bucket, node).  ``verify`` takes candidate pairs (a, b) and returns those that are linked.
     In the first round the smallest node of each bucket leads it and is compared with the other members.  A bucket whose members
     then lie in one component is done: further links inside it would change nothing.  In what is left, the next members lead, and are
     compared with the later members of other components, until no bucket is left or all members have led.  So no link
@@ -48,10 +54,7 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], f
     ``finish`` may take over the unfinished buckets of more than ``most`` members after the first round, as rows (bucket, node); it
     returns links (a, b) that connect what is linked inside each bucket, without a row per pair.
     """
-    live = cut(buckets, "buckets")
-    size = live.groupBy("bucket").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    live = cut(live.join(size.select("bucket", "a", "c"), "bucket").select("bucket", "node", "a", "c"), "buckets")
-    pairs = live.where("node <> a").select("a", F.col("node").alias("b")).dropDuplicates()
+    pairs = live.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).dropDuplicates()
     links = cut(verify(pairs).select("a", "b"), "links")
     live, low, k = live.select("bucket", "node", "c"), 1, 1
     while True:

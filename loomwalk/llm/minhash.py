@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import append_columns, bitmap_of, cut, maybe_in, utf8
-from .linkage import link_buckets
+from .linkage import link_buckets, shared_buckets
 from .words import mix, shingle_set
 
 SHINGLE = 5
@@ -163,8 +163,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, shingle: int = SHINGL
     # array<long> is not orderable by hash aggregation but first() of equal values is: equal sets have equal bands.
     classes = cut(profile.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "minhash-classes")
     buckets = classes.select("node", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node")
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
-    buckets = cut(buckets.join(shared, "bucket", "left_semi"), "minhash-buckets")
+    buckets = shared_buckets(buckets, "minhash-buckets")
     wanted = buckets.select("node").dropDuplicates().join(classes.select("node", "rep", "n"), "node")
     wanted = cut(wanted.withColumn("rep", F.coalesce("rep", F.lit(-1))), "minhash-wanted")
     keyed = src.withColumn("rep", F.coalesce("doc_id", F.lit(-1)))
