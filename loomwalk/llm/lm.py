@@ -299,22 +299,28 @@ def _ask_pairs(parts: int, documents: int):
     return work
 
 
+def first_tables(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Numbers of tables at which to begin: with many customers, those beyond the first are nearly Poisson with mean ``weight / discount``."""
+    return np.minimum(customers, 1 + rng.poisson(np.minimum(weight / discount, customers))).astype(np.int64)
+
+
 def gibbs(customers: np.ndarray, weight: Callable[[np.ndarray], np.ndarray], discount: float, rng: np.random.Generator, burn: int = BURN, keep: int = SAMPLES) -> np.ndarray:
     """Samples of the numbers of tables at which the customers of each dish sit, (keep, dishes).
 
     ``weight`` gives, from the numbers of tables, each dish's weight of a new table.  A dish's seating is the sizes of its tables.  In a sweep up to
     MOVES of its customers, chosen at random, stand up one by one and sit down again: at a table with its size less the discount, or at a new one with the weight.
     Dishes are taken together, by the width that their tables need."""
-    tables = np.minimum(customers, 1).astype(np.int64)
-    groups = []
-    left = customers >= 2
-    for width in (2, 4, 8, 16, 32, 64):
-        mine = np.flatnonzero(left & ((customers <= width) | (width == 64)))
-        left[mine] = False
-        for i in range(0, len(mine), 1 << 16):
-            at = mine[i : i + (1 << 16)]
-            sizes = np.zeros((len(at), width), np.float64)
-            sizes[:, 0] = customers[at]
+    tables = first_tables(customers, weight(np.minimum(customers, 1)), discount, rng)
+    need = np.minimum(customers, np.maximum(tables + MOVES, 64))
+    groups, low = [], 1
+    while (need > low).any():
+        width = 2 * low
+        mine, low = np.flatnonzero((need > low) & (need <= width)), width
+        most = max(1, (1 << 22) // width)
+        for i in range(0, len(mine), most):
+            at = mine[i : i + most]
+            sizes = (np.arange(width) < tables[at][:, None]).astype(np.float64)
+            sizes[:, 0] += customers[at] - tables[at]
             groups.append([at, sizes])
     out = np.empty((keep, len(customers)), np.int64)
     for sweep in range(burn + keep):
