@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bytebpe, chat, decontaminate, exact_dedup, licenses, line_dedup, lm, minhash, token_files, toxicity
+from .oracles import ORACLES
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -52,4 +53,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, manifest)
 
 
+__all__ = ["ORACLES", "QUERIES"]
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op3_minhash_dedup, op4_chat_format, op5_byte_bpe, op6_toxicity, op7_line_dedup, op8_lm_scoring, op9_decontaminate, op10_token_files)}
