@@ -79,38 +79,43 @@ def append_columns(
     make: Callable[[], Callable[[pa.Array], list[pa.Array]]],
     *,
     keep: list[str] | None = None,
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """One narrow Arrow pass: ``make()`` builds, once per task, a function from the text array to the new columns.
 
     ``keep`` names the input columns that stay (all by default).  An input column which has the name of a new
-    column is replaced by it, so extra columns with clashing names do no harm.
+    column is replaced by it, so extra columns with clashing names do no harm.  ``slice_bytes`` of text are worked on at a time.
     """
     bounded_batches(df.sparkSession)
     new = {n for n, _ in fields}
     names = [c for c in (df.columns if keep is None else keep) if c not in new]
-    hidden = "__text__"
-    src = df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias(hidden))
-    schema = T.StructType([src.schema[c] for c in names] + [T.StructField(n, t) for n, t in fields])
+    # Plain names inside: a name with a dot can't be handed to the Arrow pass.
+    src = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col(f"`{text_col}`").alias("text"))
+    schema = T.StructType(list(src.schema)[: len(names)] + [T.StructField(f"n{i}", t) for i, (_, t) in enumerate(fields)])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for b in slices(batches, len(names)):
+        for b in slices(batches, len(names), slice_bytes):
             if b.num_rows:
                 cols = [b.column(i) for i in range(len(names))] + list(f(b.column(len(names))))
                 yield pa.RecordBatch.from_arrays([c.cast(x.type) if c.type != x.type else c for c, x in zip(cols, arrow)], schema=arrow)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(run, schema).toDF(*names, *[n for n, _ in fields])
 
 
 def bitmap_of(keys: DataFrame, key: Column, bits: int) -> DataFrame:
-    """Rows (bucket, bitmap): a membership bitmap of 2**bits bits over hashed keys, at most 2**bits / 8 bytes in all."""
+    """Rows (bucket, bitmap): a membership bitmap of 2**bits bits over hashed keys, at most 2**bits / 8 bytes in all.
+
+    It is an array of 32-bit words, shifted by 2**31 to fit an int: the test then is a look-up in generated code."""
     slot = F.pmod(F.xxhash64(key), F.lit(1 << bits))
-    return (
+    made = (
         keys.select(slot.alias("v"))
         .groupBy(F.bitmap_bucket_number("v").alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bitmap"))
     )
+    word = lambda i: (F.conv(F.hex(F.substring("bitmap", i, F.lit(4))), 16, 10).cast("long") - (1 << 31)).cast("int")
+    return made.select("bucket", F.transform(F.sequence(F.lit(1), F.octet_length("bitmap"), F.lit(4)), word).alias("bitmap"))
 
 
 def flag_in(df: DataFrame, key: Column, bitmap: DataFrame, bits: int, name: str = "__maybe") -> DataFrame:
@@ -118,8 +123,9 @@ def flag_in(df: DataFrame, key: Column, bitmap: DataFrame, bits: int, name: str
     slot = F.pmod(F.xxhash64(key), F.lit(1 << bits))
     bm = bitmap.select(F.col("bucket").alias("__bucket"), F.col("bitmap").alias("__bitmap"))
     pos = F.bitmap_bit_position(slot)
-    byte = F.conv(F.hex(F.col("__bitmap").substr((pos / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.getbit(byte, F.pmod(pos, F.lit(8)).cast("int")) == 1
+    word = F.get("__bitmap", F.shiftright(pos, 5).cast("int")).cast("long") + F.lit(1 << 31)
+    bit = (pos.bitwiseAND(F.lit(31).cast("long")).bitwiseXOR(F.lit(24).cast("long"))).cast("int")  # bytes of a word come largest first
+    hit = F.getbit(word, bit) == 1
     return df.join(F.broadcast(bm), F.bitmap_bucket_number(slot) == F.col("__bucket"), "left").withColumn(name, F.coalesce(hit, F.lit(False))).drop("__bucket", "__bitmap")
 
 

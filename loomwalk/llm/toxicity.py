@@ -24,6 +24,8 @@ LANDMARKS = 64
 #: A word's kernel value below this share of the landmark's own counts as nothing.
 FLOOR = 0.5
 FOLDS = 5
+#: Bytes of text that a worker scores at a time: the kernel's arrays are some hundred times as large.
+SLICE_BYTES = 256 << 10
 
 _ALPHABET = 32
 _CLASS = np.full(256, 255, np.uint8)
@@ -229,8 +231,8 @@ def choose_landmarks(toxic: list[str], clean: list[str], most: int = LANDMARKS)
     against = np.zeros(len(names))
     plain = [w for w in neg if len(w) >= 4]
     weight = np.array([neg[w] for w in plain], float)
-    for i in range(0, len(plain), 100_000):
-        c, w, _, _ = _substrings(plain[i : i + 100_000], range(4, 11))
+    for i in range(0, len(plain), 20_000):
+        c, w, _, _ = _substrings(plain[i : i + 20_000], range(4, 11))
         k = np.minimum(np.searchsorted(names, c), len(names) - 1)
         hit = names[k] == c
         against += np.bincount(k[hit], weight[i + w[hit]], minlength=len(names))
@@ -371,7 +373,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: str
 
         return run
 
-    return append_columns(docs, text_col, [(out_col, T.DoubleType())], make, keep=keep)
+    return append_columns(docs, text_col, [(out_col, T.DoubleType())], make, keep=keep, slice_bytes=SLICE_BYTES)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
