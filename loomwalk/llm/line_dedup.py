@@ -16,14 +16,14 @@ LINE_CHARS = 500
 MIN_WORDS = 5
 #: SimHashes of linked lines differ in at most so many bits; their edit similarity, in words, is at least SIMILARITY percent.
 MAX_BITS, SIMILARITY = 2, 80
-#: A line's features are its longest distinct words, which are rarely common ones.  An edit elsewhere in the line leaves the SimHash as it is.
+#: A line's features are some of its words, mostly the longest, which are rarely common ones.  An edit elsewhere in the line leaves the SimHash as it is.
 FEATURES = 7
 _BLOCKS = 4
 BITMAP_BITS = 25
 #: Counters of three bits, 21 to a long; each counts to FEATURES.
 _ONES = sum(1 << 3 * i for i in range(21))
-#: What is no letter or digit in lower-cased ASCII, one by one: a class of single characters is a table look-up.
-_BREAK = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
+#: The least id: it stands for a null one, which sorts first.
+_NO_ID = -(1 << 63)
 
 
 def _once(df: DataFrame, keep: list[str], value: Column, name: str) -> DataFrame:
@@ -38,27 +38,29 @@ def lines_of(text: Column) -> Column:
 
 def words_of(line: Column) -> Column:
     """The words of a line: runs of letters, digits and non-ASCII characters, lower-cased."""
-    return F.array_remove(F.split(F.lower(line), _BREAK), "")
+    return F.regexp_extract_all(F.lower(line), F.lit(r"[a-z0-9\x80-\x{10FFFF}]+"), F.lit(0))
 
 
 def simhash(features: Column) -> Column:
-    """Bit j of 63 is set if more than half of the features (at most seven longs) have it set.
+    """Bit j of 63 is set if more than half of the features (an array of at most seven longs) have bit j of their hashes set.
 
     Three longs of three-bit counters start at a bias, such that more than half of the features bring a counter to four or more, its third bit."""
-    ones = F.lit(_ONES).cast("long")
-    start = ones * (3 - F.floor(F.size(features) / 2))
-    lane = lambda k: lambda a, h: a + F.shiftrightunsigned(h, k).bitwiseAND(ones)
+    ones, n = F.lit(_ONES).cast("long"), F.size(features)
+    there = [(F.lit(i) < n).cast("long") for i in range(FEATURES)]
+    hashes = [F.xxhash64(F.get(features, F.lit(i))) for i in range(FEATURES)]
     out = F.lit(0).cast("long")
     for k in range(3):
-        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.aggregate(features, start, lane(k)), 2).bitwiseAND(ones), k))
+        lane = ones * (F.lit(3) - F.shiftright(n, 1))
+        for h, x in zip(hashes, there):
+            lane = lane + F.shiftrightunsigned(h, k).bitwiseAND(ones) * x
+        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(lane, 2).bitwiseAND(ones), k))
     return out
 
 
 def features_of(words: Column) -> Column:
-    """Hashes of the seven longest distinct words; of equally long ones, those with the least hashes."""
-    short = lambda w: F.shiftleft((127 - F.least(F.octet_length(w), F.lit(127))).cast("long"), 56)
-    key = lambda w: short(w).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
-    return F.transform(F.slice(F.sort_array(F.array_distinct(F.transform(words, key))), 1, FEATURES), lambda k: F.xxhash64(k))
+    """Of seven distinct words, mostly the longest: those whose hashes, halved once for each byte, are least."""
+    key = lambda w: F.call_function("shiftrightunsigned", F.xxhash64(w), F.octet_length(w))
+    return F.slice(F.sort_array(F.array_distinct(F.transform(words, key))), 1, FEATURES)
 
 
 def _blocks(bits: Column) -> Column:
@@ -86,14 +88,14 @@ def _code(words: Column) -> Column:
 
 def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, drop): for each document with lines to drop, their sorted 0-based numbers."""
-    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    src = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     found = _once(_occurrences(src).select("doc_id", "pos", _node(F.col("words")).alias("node"), "words"), ["doc_id", "pos", "node"], features_of(F.col("words")), "features")
     rows = cut(found.select("doc_id", "pos", "node", simhash(F.col("features")).alias("simhash")), "line-rows")
-    classes = cut(rows.groupBy("node").agg(F.min("simhash").alias("simhash"), F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")), "line-classes")
+    classes = cut(rows.groupBy("node").agg(F.min("simhash").alias("simhash"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("home")), "line-classes")
     buckets = shared_buckets(classes.select("node", F.explode(_blocks(F.col("simhash"))).alias("bucket")), "line-buckets")
-    wanted = cut(buckets.select("node").dropDuplicates().join(classes, "node").select("node", "simhash", F.coalesce("first.doc_id", F.lit(-1)).alias("home")), "line-wanted")
-    homes = maybe_in(src.withColumn("home", F.coalesce("doc_id", F.lit(-1))), F.col("home"), bitmap_of(wanted, F.col("home"), BITMAP_BITS), BITMAP_BITS)
-    again = _once(_occurrences(homes.select(F.col("home").alias("doc_id"), "text")).select(F.col("doc_id").alias("home"), "words"), ["home", "words"], _node(F.col("words")), "node")
+    wanted = cut(buckets.select("node").dropDuplicates().join(classes, "node").select("node", "simhash", "home"), "line-wanted")
+    homes = maybe_in(src, F.col("doc_id"), bitmap_of(wanted, F.col("home"), BITMAP_BITS), BITMAP_BITS)
+    again = _once(_occurrences(homes).select(F.col("doc_id").alias("home"), "words"), ["home", "words"], _node(F.col("words")), "node")
     near = maybe_in(again, F.col("node"), bitmap_of(wanted, F.col("node"), BITMAP_BITS), BITMAP_BITS).select("home", "node", _code(F.col("words")).alias("code"))
     texts = cut(near.join(wanted, ["node", "home"]).dropDuplicates(["node"]).select("node", "simhash", "code"), "line-texts")
 
@@ -108,13 +110,14 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     # Only lines that are linked or occur twice matter from here on.
     linked = maybe_in(classes, F.col("node"), bitmap_of(comp, F.col("node"), BITMAP_BITS), BITMAP_BITS).join(comp, "node")
     alone = classes.where("n > 1").join(comp, "node", "left_anti").withColumn("component", F.col("node"))
-    grouped = cut(linked.select("node", "n", "first", "component").unionByName(alone.select("node", "n", "first", "component")), "line-groups")
-    keeper = grouped.groupBy("component").agg(F.min("first").alias("keep"))
-    keep = cut(grouped.select("node", "component").join(keeper, "component").select("node", "keep"), "line-keep")
+    grouped = cut(linked.select("node", "component").unionByName(alone.select("node", "component")), "line-groups")
     # A common line is a common key of this join, whose rows are a few bytes; skewed keys are split at run time.
-    near = maybe_in(rows.select("doc_id", "pos", "node"), F.col("node"), bitmap_of(keep, F.col("node"), BITMAP_BITS), BITMAP_BITS)
-    gone = near.join(keep, "node").where(~F.struct("doc_id", "pos").eqNullSafe(F.col("keep")))
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
+    near = maybe_in(rows.select("doc_id", "pos", "node"), F.col("node"), bitmap_of(grouped, F.col("node"), BITMAP_BITS), BITMAP_BITS)
+    near = cut(near.join(grouped, "node").select("doc_id", "pos", "component"), "line-places")
+    first = near.groupBy("component").agg(F.min("doc_id").alias("doc"))
+    keep = near.join(first, "component").where("doc_id = doc").groupBy("component").agg(F.min("doc").alias("doc"), F.min("pos").alias("at"))
+    gone = near.join(keep, "component").where("doc_id <> doc or pos <> at")
+    return gone.groupBy(F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")).alias("doc_id")).agg(F.array_sort(F.collect_set("pos")).alias("drop"))
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,7 +126,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     A line is a run up to a line end, of at most 500 characters (longer ones are cut).  Lines are compared by their lower-cased words: runs of
     letters, digits and non-ASCII characters; those of fewer than five words always stay.  Two lines are linked if they have the same
     words, or if their SimHashes differ in at most 2 of 63 bits and their edit similarity, counted in words, is at least 0.8.  A
-    SimHash is taken over a line's seven longest distinct words.
+    SimHash is taken over seven words of a line, mostly its longest.
     Of each connected group the occurrence with the smallest (id, line number) stays; all others go, also within one document.
 
     Null texts count as empty and stay null; empty texts have no lines.  Rows that repeat an id are taken as one document and treated alike; a null id sorts
@@ -137,7 +140,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     flagged = flag_in(packed, F.coalesce("__id", F.lit(-1)), bitmap_of(drops, F.coalesce("doc_id", F.lit(-1)), BITMAP_BITS), BITMAP_BITS)
     text = F.col(f"__row.`{text_col}`")
     lines = lines_of(F.coalesce(text, F.lit("")))
-    changed = flagged.where("__maybe").join(drops, F.col("__id").eqNullSafe(F.col("doc_id")), "left").withColumn("__lines", lines)
+    # Shuffled, as the lists grow with the corpus; built from the lists, so that texts aren't sorted.
+    changed = flagged.where("__maybe").join(drops.hint("shuffle_hash"), F.col("__id").eqNullSafe(F.col("doc_id")), "left").withColumn("__lines", lines)
     kept = F.array_join(F.filter("__lines", lambda x, i: ~F.array_contains("drop", i)), "")
     changed = changed.select("__row", F.when(F.col("drop").isNull(), text).otherwise(kept).alias("__text"), F.size("__lines").cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"))
     same = flagged.where("not __maybe").select("__row", text.alias("__text"), F.size(lines).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))

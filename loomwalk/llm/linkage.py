@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bitmap_of, cut, maybe_in
 
 #: Ranks of the members of a bucket that lead it, round by round: up to the 1st, the 32nd, the 256th, then eight times more each round.
 LEADERS = (1, 32, 256)
+BITMAP_BITS = 25
+
+
+def _mark(edges: DataFrame) -> tuple:
+    """Tells sets of edges apart: their number, and 128 bits over all of them."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64(F.lit(1), "v", "u"))).first())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,6 +27,7 @@ def components(links: DataFrame) -> DataFrame:
     rounds, and no node ever gathers its neighbours in one row.  Rounds are cut to the shared folder.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).dropDuplicates(), "edges")
+    mark = _mark(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -28,18 +35,30 @@ def components(links: DataFrame) -> DataFrame:
         low = large.where("u <> v").groupBy("u").agg(F.min("v").alias("m"))
         linked = large.where("u <> v").join(low, "u")
         small = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        new = cut(small.where("u <> v").dropDuplicates(), "edges")
-        same = edges.join(new, ["u", "v"], "left_anti").isEmpty() and new.join(edges, ["u", "v"], "left_anti").isEmpty()
-        edges = new
-        if same:
+        edges = cut(small.where("u <> v").dropDuplicates(), "edges")
+        last, mark = mark, _mark(edges)
+        if mark == last:
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).dropDuplicates())
 
 
+def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """``comp`` (node, component) after further links (a, b): only the components that they touch are grouped again."""
+    of = lambda x: comp.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    named = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    merged = cut(components(named), "merged")
+    old = comp.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    new = merged.join(comp.select("node"), "node", "left_anti")
+    return cut(old.unionByName(new), "components")
+
+
 def shared_buckets(buckets: DataFrame, name: str = "buckets") -> DataFrame:
-    """Of rows (bucket, node), those whose bucket has several nodes, as (bucket, node, lead: its smallest node, c: its size); written out."""
-    size = buckets.groupBy("bucket").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    return cut(buckets.join(size, "bucket").select("bucket", "node", "lead", "c"), name)
+    """Of distinct rows (bucket: a long, node), those whose bucket has several nodes, as (bucket, node, c: its size); written out.
+
+    Sizes are counted without the nodes; a bitmap of the shared buckets then keeps most other rows from being shuffled."""
+    size = cut(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), f"{name}-sizes")
+    near = maybe_in(buckets, F.col("bucket"), bitmap_of(size, F.col("bucket"), BITMAP_BITS), BITMAP_BITS)
+    return cut(near.join(size, "bucket").select("bucket", "node", "c"), name)
 
 
 def link_buckets(live: DataFrame, verify: Callable[[DataFrame], DataFrame], finish: Callable[[DataFrame], DataFrame] | None = None, most: int = 32) -> tuple[DataFrame, DataFrame]:
@@ -54,24 +73,29 @@ def link_buckets(live: DataFrame, verify: Callable[[DataFrame], DataFrame], fini
     ``finish`` may take over the unfinished buckets of more than ``most`` members after the first round, as rows (bucket, node); it
     returns links (a, b) that connect what is linked inside each bucket, without a row per pair.
     """
-    pairs = live.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).dropDuplicates()
+    lead = live.groupBy("bucket").agg(F.min("node").alias("a"))
+    pairs = live.join(lead, "bucket").where("node <> a").select("a", F.col("node").alias("b")).dropDuplicates()
     links = cut(verify(pairs).select("a", "b"), "links")
-    live, low, k = live.select("bucket", "node", "c"), 1, 1
+    comp = cut(components(links), "components")
+    low, k = 1, 1
     while True:
-        comp = cut(components(links), "components")
         tagged = live.where(F.col("c") > low).join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        apart = tagged.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-        live = cut(tagged.join(apart, "bucket", "left_semi"), "buckets")
+        h = F.xxhash64("component")
+        apart = tagged.groupBy("bucket").agg(F.min(h).alias("x"), F.max(h).alias("y")).where("x <> y").select("bucket")
+        live = cut(tagged.join(apart, "bucket", "left_semi"), "live")
         if live.isEmpty():
             return links, comp
+        more = None
         if finish is not None and low == 1:
-            more = finish(live.where(F.col("c") > most).select("bucket", "node"))
-            links = cut(links.unionByName(more.select("a", "b")).dropDuplicates(), "links")
+            more = finish(live.where(F.col("c") > most).select("bucket", "node")).select("a", "b")
             live = live.where(F.col("c") <= most)
         high = LEADERS[k] if k < len(LEADERS) else low * 8
         rank = F.row_number().over(W.partitionBy("bucket").orderBy("node"))
         lead = live.select("bucket", "node", "component", rank.alias("r")).where(F.col("r") <= high).where(F.col("r") > low)
         lead = lead.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"))
         pairs = lead.join(live, "bucket").where("node > a and ca <> component").select("a", F.col("node").alias("b")).dropDuplicates()
-        links = cut(links.unionByName(verify(pairs).select("a", "b")).dropDuplicates(), "links")
+        found = verify(pairs).select("a", "b")
+        new = cut(found if more is None else found.unionByName(more), "links")
         live, low, k = live.select("bucket", "node", "c"), high, k + 1
+        if not new.isEmpty():
+            links, comp = links.unionByName(new), joined(comp, new)

@@ -25,7 +25,7 @@ def signed(x):
 
 def simhash(words):
     keys = sorted(signed(xxhash.xxh64_intdigest(w, seed=42) >> len(w.encode()) % 64) for w in words)
-    keys = sorted(set(keys[: L.FEATURES]))
+    keys = sorted(set(keys))[: L.FEATURES]
     hashes = [xxhash.xxh64_intdigest((k % (1 << 64)).to_bytes(8, "little"), seed=42) for k in keys]
     return sum(1 << j for j in range(63) if 2 * sum(h >> j & 1 for h in hashes) > len(hashes))
 
