@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -86,6 +87,21 @@ def _code(words: Column) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(words, lambda w: F.hex(F.pmod(F.xxhash64(w), F.lit(50_000)) + 4096)), "")), "UTF-16BE")
 
 
+def _drop_lists(rows: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
+    """(doc_id, drop) from the places (doc_id, pos, node), the distinct lines (node, n) and the groups (node, component) of the linked ones."""
+    # Only lines that are linked or occur twice matter from here on.
+    linked = maybe_in(classes, F.col("node"), bitmap_of(comp, F.col("node"), BITMAP_BITS), BITMAP_BITS).join(comp, "node")
+    alone = classes.where("n > 1").join(comp, "node", "left_anti").withColumn("component", F.col("node"))
+    grouped = cut(linked.select("node", "component").unionByName(alone.select("node", "component")), "line-groups")
+    # A common line is a common key of this join, whose rows are a few bytes; skewed keys are split at run time.
+    near = maybe_in(rows.select("doc_id", "pos", "node"), F.col("node"), bitmap_of(grouped, F.col("node"), BITMAP_BITS), BITMAP_BITS)
+    near = cut(near.join(grouped, "node").select("doc_id", "pos", "component"), "line-places")
+    first = near.groupBy("component").agg(F.min("doc_id").alias("doc"))
+    keep = near.join(first, "component").where("doc_id = doc").groupBy("component").agg(F.min("doc").alias("doc"), F.min("pos").alias("at"))
+    gone = near.join(keep, "component").where("doc_id <> doc or pos <> at")
+    return gone.groupBy(F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")).alias("doc_id")).agg(F.array_sort(F.collect_set("pos")).alias("drop"))
+
+
 def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, drop): for each document with lines to drop, their sorted 0-based numbers."""
     src = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
@@ -107,17 +123,24 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         return close.where((longer - F.levenshtein("ta", "tb")) * 100 >= longer * SIMILARITY).select("a", "b")
 
     _, comp = link_buckets(buckets, verify)
-    # Only lines that are linked or occur twice matter from here on.
-    linked = maybe_in(classes, F.col("node"), bitmap_of(comp, F.col("node"), BITMAP_BITS), BITMAP_BITS).join(comp, "node")
-    alone = classes.where("n > 1").join(comp, "node", "left_anti").withColumn("component", F.col("node"))
-    grouped = cut(linked.select("node", "component").unionByName(alone.select("node", "component")), "line-groups")
-    # A common line is a common key of this join, whose rows are a few bytes; skewed keys are split at run time.
-    near = maybe_in(rows.select("doc_id", "pos", "node"), F.col("node"), bitmap_of(grouped, F.col("node"), BITMAP_BITS), BITMAP_BITS)
-    near = cut(near.join(grouped, "node").select("doc_id", "pos", "component"), "line-places")
-    first = near.groupBy("component").agg(F.min("doc_id").alias("doc"))
-    keep = near.join(first, "component").where("doc_id = doc").groupBy("component").agg(F.min("doc").alias("doc"), F.min("pos").alias("at"))
-    gone = near.join(keep, "component").where("doc_id <> doc or pos <> at")
-    return gone.groupBy(F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")).alias("doc_id")).agg(F.array_sort(F.collect_set("pos")).alias("drop"))
+    return _drop_lists(rows, classes, comp)
+
+
+def _without(docs: DataFrame, drops: DataFrame, split: Callable[[Column], Column], id_col: str, text_col: str) -> DataFrame:
+    """``docs`` less the lines in ``drops`` (doc_id, drop), which count the lines that ``split`` makes, with (n_lines, n_dropped)."""
+    drops = cut(drops, "line-drops")
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col(f"`{id_col}`").cast("long").alias("__id"))
+    flagged = flag_in(packed, F.coalesce("__id", F.lit(-1)), bitmap_of(drops, F.coalesce("doc_id", F.lit(-1)), BITMAP_BITS), BITMAP_BITS)
+    text = F.col(f"__row.`{text_col}`")
+    lines = split(F.coalesce(text, F.lit("")))
+    # Shuffled, as the lists grow with the corpus; built from the lists, so that texts aren't sorted.
+    changed = flagged.where("__maybe").join(drops.hint("shuffle_hash"), F.col("__id").eqNullSafe(F.col("doc_id")), "left").withColumn("__lines", lines)
+    kept = F.array_join(F.filter("__lines", lambda x, i: ~F.array_contains("drop", i)), "")
+    changed = changed.select("__row", F.when(F.col("drop").isNull(), text).otherwise(kept).alias("__text"), F.size("__lines").cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    same = flagged.where("not __maybe").select("__row", text.alias("__text"), F.size(lines).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+    out = changed.unionByName(same)
+    return out.select(*[F.col("__text").alias(c) if c == text_col else F.col(f"__row.`{c}`").alias(c) for c in names], "n_lines", "n_dropped")
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,23 +157,110 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Texts move only for documents that lose lines, and once.
     """
-    drops = cut(repeated_lines(docs, id_col=id_col, text_col=text_col), "line-drops")
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col(f"`{id_col}`").cast("long").alias("__id"))
-    flagged = flag_in(packed, F.coalesce("__id", F.lit(-1)), bitmap_of(drops, F.coalesce("doc_id", F.lit(-1)), BITMAP_BITS), BITMAP_BITS)
-    text = F.col(f"__row.`{text_col}`")
-    lines = lines_of(F.coalesce(text, F.lit("")))
-    # Shuffled, as the lists grow with the corpus; built from the lists, so that texts aren't sorted.
-    changed = flagged.where("__maybe").join(drops.hint("shuffle_hash"), F.col("__id").eqNullSafe(F.col("doc_id")), "left").withColumn("__lines", lines)
-    kept = F.array_join(F.filter("__lines", lambda x, i: ~F.array_contains("drop", i)), "")
-    changed = changed.select("__row", F.when(F.col("drop").isNull(), text).otherwise(kept).alias("__text"), F.size("__lines").cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"))
-    same = flagged.where("not __maybe").select("__row", text.alias("__text"), F.size(lines).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
-    out = changed.unionByName(same)
-    return out.select(*[F.col("__text").alias(c) if c == text_col else F.col(f"__row.`{c}`").alias(c) for c in names], "n_lines", "n_dropped")
+    return _without(docs, repeated_lines(docs, id_col=id_col, text_col=text_col), lines_of, id_col, text_col)
+
+
+# --- whole lines -----------------------------------------------------------------------------------------------
+#: Scripts that are written without spaces: each character is a word.
+_DENSE = r"\x{E00}-\x{EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{2FDF}\x{3005}-\x{3007}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9F}\x{20000}-\x{3FFFF}"
+#: What is no part of a word: ASCII other than letters and digits, and the punctuation of Latin-1, of Unicode and of full width.
+_BREAKS = r"\x00-\x2F\x3A-\x60\x7B-\xA9\xAB-\xB4\xB6-\xB9\xBB-\xBF\x{2000}-\x{206F}\x{3000}-\x{3004}\x{3008}-\x{303F}\x{30FB}\x{FF00}-\x{FF0F}\x{FF1A}-\x{FF20}\x{FF3B}-\x{FF40}\x{FF5B}-\x{FF65}"
+#: Candidates share a sketch: the least two of a line's pairs of neighbouring words, in BANDS random orders; in lines of up to SHORT words also the least three words.
+BANDS, SHORT = 12, 15
+#: Edit similarity counts characters, and words where the longer line has more characters than this.
+WORDWISE = 4000
+
+
+def whole_lines_of(text: Column) -> Column:
+    """The lines of a text whatever their length, each with its line end; joined they are the text."""
+    return F.regexp_extract_all(text, F.lit(r"[^\n]+\n?|\n"), F.lit(0))
+
+
+def normal_line(line: Column) -> Column:
+    """The lower-cased words of a line with a space between what was apart."""
+    return F.trim(F.regexp_replace(F.lower(line), f"[{_BREAKS}]+", " "))
+
+
+def _dense(norm: Column) -> Column:
+    """Most characters take three bytes or more."""
+    return F.octet_length(norm) > 2 * F.length(norm)
+
+
+def _pieces(norm: Column) -> Column:
+    return F.regexp_extract_all(norm, F.lit(f"[{_DENSE}]|[^ {_DENSE}]+"), F.lit(0))
+
+
+def sketches(words: Column) -> tuple[Column, Column]:
+    """Hashes of the words of a line, and of its pairs of neighbouring words; no word weighs more than another.  The words of longer lines are null."""
+    one = F.transform(words, lambda w: F.xxhash64(w))
+    two = F.zip_with(one, F.slice(one, 2, F.greatest(F.size(one) - 1, F.lit(1))), lambda a, b: F.xxhash64(a, b))
+    two = F.when(F.size(one) > 1, F.slice(two, 1, F.greatest(F.size(one) - 1, F.lit(1)))).otherwise(two)
+    return F.when(F.size(one) <= SHORT, F.array_distinct(one)), F.array_distinct(two)
+
+
+def sketch(hashes: Column, band: int, ranks: int) -> Column:
+    """A hash of the least ``ranks`` hashes in the order of this band."""
+    return F.hash(F.slice(F.sort_array(F.transform(hashes, lambda h: F.xxhash64(F.lit(band), h))), 1, ranks))
+
+
+def _whole(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, norm) of the lines of (doc_id, text) that have a word."""
+    lines = docs.select("doc_id", F.posexplode(whole_lines_of(F.col("text"))).alias("pos", "line"))
+    return _once(lines, ["doc_id", "pos"], normal_line(F.col("line")), "norm").where("norm <> ''")
+
+
+def similar(ta: Column, tb: Column, ca: Column, cb: Column) -> Column:
+    """Whether the edit similarity is at least SIMILARITY percent: of the lines, or of their words as characters where a line is null."""
+    def close(x: Column, y: Column) -> Column:
+        longer = F.greatest(F.length(x), F.length(y))
+        most = F.floor(longer * (100 - SIMILARITY) / 100).cast("int")
+        return (F.abs(F.length(x) - F.length(y)) <= most) & (F.call_function("levenshtein", x, y, most) >= 0)
+
+    return F.when(ta.isNotNull() & tb.isNotNull(), close(ta, tb)).otherwise(close(ca, cb))
+
+
+def repeated_whole_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, drop): for each document with lines to drop, their sorted 0-based numbers."""
+    src = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    node = F.unhex(F.md5(F.col("norm").cast("binary"))).alias("node")
+    words = F.when(_dense(F.col("norm")), _pieces(F.col("norm"))).otherwise(F.split("norm", " "))
+    names = [f"b{i}" for i in range(2 * BANDS)]
+    found = _once(_whole(src).select("doc_id", "pos", node, "norm"), ["doc_id", "pos", "node"], words, "words")
+    found = _once(found, ["doc_id", "pos", "node"], F.struct(*[c.alias(n) for n, c in zip(("one", "two"), sketches(F.col("words")))]), "s")
+    bands = [sketch(F.col("s.two"), i, 2) for i in range(BANDS)] + [F.when(F.col("s.one").isNotNull(), sketch(F.col("s.one"), i, 3)) for i in range(BANDS, 2 * BANDS)]
+    rows = cut(found.select("doc_id", "pos", "node", *[c.alias(b) for c, b in zip(bands, names)]), "line-rows")
+    classes = cut(rows.groupBy("node").agg(*[F.min(b).alias(b) for b in names], F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("home")), "line-classes")
+    keys = F.array_compact(F.array(*[F.when(F.col(b).isNotNull(), F.xxhash64(F.lit(i), F.col(b))) for i, b in enumerate(names)]))
+    buckets = shared_buckets(classes.select("node", F.explode(keys).alias("bucket")), "line-buckets")
+    wanted = cut(buckets.select("node").dropDuplicates().join(classes, "node").select("node", "home"), "line-wanted")
+    homes = maybe_in(src, F.col("doc_id"), bitmap_of(wanted, F.col("home"), BITMAP_BITS), BITMAP_BITS)
+    again = _once(_whole(homes).select(F.col("doc_id").alias("home"), "norm"), ["home", "norm"], F.unhex(F.md5(F.col("norm").cast("binary"))), "node")
+    near = maybe_in(again, F.col("node"), bitmap_of(wanted, F.col("node"), BITMAP_BITS), BITMAP_BITS)
+    chars = F.length("norm")
+    near = near.select("home", "node", F.when(chars <= WORDWISE, F.col("norm")).alias("line"), F.when(chars > WORDWISE // 4, _code(_pieces(F.col("norm")))).alias("code"))
+    texts = cut(near.join(wanted, ["node", "home"]).dropDuplicates(["node"]).select("node", "line", "code"), "line-texts")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        side = lambda x: texts.select(F.col("node").alias(x), F.col("line").alias(f"t{x}"), F.col("code").alias(f"c{x}"))
+        return pairs.join(side("a"), "a").join(side("b"), "b").where(similar(*[F.col(c) for c in ("ta", "tb", "ca", "cb")])).select("a", "b")
+
+    _, comp = link_buckets(buckets, verify)
+    return _drop_lists(rows, classes, comp)
+
+
+def dedup_whole_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with ``text`` less its repeated lines, and (n_lines, n_dropped) added; what the query does.
+
+    A line is a run up to a line end, whatever its length.  Lines are compared by their lower-cased words, between which stands one space.  Equal
+    lines are always linked, however short; lines without a word always stay.  Others are candidates if they share one of their
+    sketches, over all words, and linked if their edit similarity is at least 0.8: in characters, or in words where a line has more than WORDWISE
+    characters.  In scripts without spaces each character counts as a word.  What stays, ids, nulls and columns are as in :func:`dedup_lines`.
+    """
+    return _without(docs, repeated_whole_lines(docs, id_col=id_col, text_col=text_col), whole_lines_of, id_col, text_col)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """Per document: (doc_id, n_lines, n_dropped, n_chars, text_sha256) of the text that is left."""
-    out = dedup_lines(docs.select("doc_id", "text"))
+    out = dedup_whole_lines(docs.select("doc_id", "text"))
     text = F.coalesce("text", F.lit(""))
     return out.select("doc_id", "n_lines", "n_dropped", F.length(text).cast("long").alias("n_chars"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))
