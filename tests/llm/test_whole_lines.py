@@ -45,3 +45,9 @@ def test_links_are_those_of_the_characters(spark):
     df = spark.createDataFrame([(a, b, a, b) for a, b in pairs], "ta string, tb string, ca string, cb string")
     got = [r[0] for r in df.select(L.similar(*[F.col(c) for c in df.columns])).collect()]
     assert got == [True, False, False]
+
+
+def test_long_lines_behind_another_lead(spark):
+    body = sentence(300)
+    rows = [(i, f"{sentence(n)} {body}") for i, n in enumerate((0, 1, 3, 10, 20))]
+    assert dropped(spark, rows) == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1}
