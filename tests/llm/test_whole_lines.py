@@ -51,3 +51,7 @@ def test_long_lines_behind_another_lead(spark):
     body = sentence(300)
     rows = [(i, f"{sentence(n)} {body}") for i, n in enumerate((0, 1, 3, 10, 20))]
     assert dropped(spark, rows) == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1}
+
+
+def test_typos_in_a_short_line(spark):
+    assert dropped(spark, [(0, "please subscribe to our weekly newsletter right now"), (1, "please subscrlbe to our weekly newslettor right now")]) == {0: 0, 1: 1}
