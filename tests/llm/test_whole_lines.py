@@ -55,3 +55,9 @@ def test_long_lines_behind_another_lead(spark):
 
 def test_typos_in_a_short_line(spark):
     assert dropped(spark, [(0, "please subscribe to our weekly newsletter right now"), (1, "please subscrlbe to our weekly newslettor right now")]) == {0: 0, 1: 1}
+
+
+def test_short_copies_and_scripts_without_spaces(spark):
+    han = "本网站使用饼干来改善您的体验，继续浏览即表示您同意我们的隐私政策和使用条款。"
+    rows = [(0, "Subscribe to our newsletter"), (1, "Subscribe to our newsletter!"), (2, han), (3, han), (4, han.replace("改善", "提高")), (5, "---\n\n"), (6, "---\n\n"), (7, "เว็บไซต์นี้ใช้คุกกี้เพื่อประสบการณ์ที่ดี"), (8, "เว็บไซต์นี้ใช้คุกกี้เพื่อประสบการณ์ที่ดี")]
+    assert dropped(spark, rows) == {0: 0, 1: 1, 2: 0, 3: 1, 4: 1, 5: 0, 6: 0, 7: 0, 8: 1}
