@@ -77,9 +77,20 @@ RULES: list[tuple[str, str]] = [
 ]
 
 #: Every known sentence holds one of these, so a text without them has no known sentence.
-CUE = "(?i)licen|permission|warrant|redistribut|copyright|rights reserved|public domain|free software"
-#: Sentences end at white space after closing punctuation, or at a line end; a line inside a sentence ends it too.
+_GAP = "[^a-z0-9]+(?:(?:rem|dnl)[^a-z0-9]+)?"
+CUE = f"(?i)licen|permission|warrant|redistribut|copyright|rights{_GAP}reserved|public{_GAP}domain|free{_GAP}software"
+#: Pieces end at white space after closing punctuation, or at a line end; a known sentence may fill several lines, see wrapped().
 SPLIT = r"[.!?;:]+[\x20\x09-\x0D]+|[\x0A\x0D]+"
+#: Where even a wrapped sentence ends: closing punctuation, or a line without letters and digits, such as a blank one in a comment.
+STOP = r"[.!?;:]+[\x20\x09-\x0D]+|\n[^A-Za-z0-9\n]*(?=\n)"
+#: Words that mark a line as a comment; other marks are no letters.
+COMMENT = r"(?im)^[^a-z0-9\n]*(?:rem|dnl)(?=[^a-z0-9])"
+
+
+def wrapped(pieces: list[str]) -> str:
+    """Known pieces in a text of [a-z0-9 \\n|], "|" for a STOP: from a line's or sentence's start to such an end, whatever line ends lie between."""
+    each = "|".join(x.replace(" ", r"[ \n]") for x in sorted(pieces, key=len, reverse=True))
+    return rf"(?<![^\n|])(?:{each})(?![^\n|])"
 
 
 def normal(sentence: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .license_rules import CUE, RULES, SENTENCES, SPLIT, normal, pattern
+from .license_rules import COMMENT, CUE, RULES, SENTENCES, SPLIT, STOP, normal, pattern, wrapped
 
 
 def pieces_of(sentence: str) -> list[str]:
@@ -26,14 +26,18 @@ def known_pieces() -> dict[str, str]:
     return table
 
 
-def _normal(s: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
+def _normal(text: Column) -> Column:
+    """The lower-cased text of words, with one space, line end or "|" (for a STOP) between two of them."""
+    lines = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), COMMENT, "")
+    marked = F.regexp_replace(lines, STOP, "|")
+    plain = F.regexp_replace(F.lower(marked), r"[^a-z0-9\n|]+", " ")
+    return F.regexp_replace(F.regexp_replace(plain, r" ?([\n|])[ \n|]*", "$1"), "^ | $", "")
 
 
 def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: (doc_id, n_known, sentence_ids, licenses, status).
 
-    The text is cut into sentences, each is normalised and mapped to the identifier of a known licence sentence;
+    The text is normalised, and known licence sentences that fill whole lines or sentences of it, wrapped or not, are mapped to their identifiers;
     ``sentence_ids`` joins the identifiers in text order.  The ordered rules then run over that sequence: each rule that
     matches names its licence and consumes what it matched.  ``licenses`` joins the distinct names, sorted; ``status`` is
     ``none`` (no known sentence), ``matched`` (every sentence consumed) or ``partial`` (some are left).
@@ -41,10 +45,10 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Null, empty and cue-less texts have status ``none``.  Rows are independent: repeated rows, null ids, long texts and extra
     columns need no rule.  One scan, no shuffle; both tables are constants in the plan.
     """
-    known = known_pieces()
+    known = {k: v for k, v in known_pieces().items() if v}
     table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
-    sentences = F.split(F.col("t"), SPLIT)
-    named = F.filter(F.transform(sentences, lambda s: F.element_at(table, _normal(s))), lambda x: x.isNotNull() & (x != ""))
+    sentences = F.regexp_extract_all(_normal(F.col("t")), F.lit(wrapped(list(known))), F.lit(0))
+    named = F.transform(sentences, lambda s: F.element_at(table, F.translate(s, "\n", " ")))
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     ids = base.select("doc_id", F.when(F.col("t").rlike(CUE), named).otherwise(F.array().cast("array<string>")).alias("ids"))
     seq = F.concat(F.lit("<"), F.array_join("ids", "><"), F.lit(">"))
