@@ -27,6 +27,7 @@ import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +45,10 @@ FOLDS, FOLD = 5, 1
 STRENGTH, ROOT_STRENGTH = 1.0, 1.0
 #: Sweeps before the first kept sample, and kept samples.
 BURN, SAMPLES = 4, 3
-#: Customers of one pair that are seated anew in a sweep, chosen at random; all, if there are fewer.
-MOVES = 16
+#: Numbers of customers up to which the chances of all numbers of tables come from exact tables; larger ones from their scaling limit.
+EXACT = 1024
+#: Burning goes on until the logarithm of the weights, averaged over customers, moves by no more than this in a sweep.
+SETTLED = 0.002
 #: Bytes of text in one slice; a longer text is a slice of its own.
 SLICE = 16 << 20
 
@@ -304,47 +307,70 @@ def first_tables(customers: np.ndarray, weight: np.ndarray, discount: float, rng
     return np.minimum(customers, 1 + rng.poisson(np.minimum(weight / discount, customers))).astype(np.int64)
 
 
+@lru_cache(maxsize=2)
+def stirling(discount: float, most: int = EXACT) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers: [n, t] adds up the seatings of n customers at t tables, each the product of its tables' factors."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[0, 0] = 0
+    t = np.arange(1, most + 1)
+    for n in range(most):
+        stay = np.log(np.maximum(n - discount * t, 1e-300))
+        out[n + 1, 1:] = np.logaddexp(out[n, :-1], np.where(t <= n, out[n, 1:] + stay, -np.inf))
+    return out
+
+
+def draw_tables(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Numbers of tables given the weight of a new one: t has the chance weight**t times the Stirling number of (customers, t).
+
+    With t from 1 to T, Stirling numbers times discount**(t-1) (t-1)! / (n-1)! are chances in a restaurant of no strength; for n above EXACT
+    these are taken as a function of t / n**discount, which is their limit."""
+    table = stirling(round(discount, 6))
+    out = np.minimum(customers, 1).astype(np.int64)
+    log_weight = np.log(np.maximum(weight, 1e-300))
+    order = np.argsort(customers, kind="stable")
+    sizes, starts = np.unique(customers[order], return_index=True)
+    for n, i, j in zip(sizes.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)]):
+        if n < 2:
+            continue
+        if n <= EXACT:
+            t, base = np.arange(1, n + 1), table[n, 1 : n + 1]
+        else:
+            scale = (EXACT / n) ** discount
+            t = np.arange(1, min(n, int(EXACT / scale)) + 1)
+            k = np.arange(1, EXACT + 1)
+            at = table[EXACT, 1:] + (k - 1) * np.log(discount) + _log_factorial(EXACT)[:-1]
+            base = np.interp(t * scale, k, at) - (t - 1) * np.log(discount) - _log_factorial(len(t))[:-1]
+        step = max(1, (1 << 20) // len(t))
+        for lo in range(i, j, step):
+            at_rows = order[lo : min(j, lo + step)]
+            x = base + log_weight[at_rows, None] * t
+            x = np.cumsum(np.exp(x - x.max(axis=1, keepdims=True)), axis=1)
+            out[at_rows] = 1 + (x <= (rng.random(len(at_rows)) * x[:, -1])[:, None]).sum(axis=1)
+    return np.minimum(out, customers)
+
+
+def _log_factorial(most: int) -> np.ndarray:
+    return np.append(0.0, np.cumsum(np.log(np.arange(1, most + 1))))
+
+
 def gibbs(customers: np.ndarray, weight: Callable[[np.ndarray], np.ndarray], discount: float, rng: np.random.Generator, burn: int = BURN, keep: int = SAMPLES) -> np.ndarray:
     """Samples of the numbers of tables at which the customers of each dish sit, (keep, dishes).
 
-    ``weight`` gives, from the numbers of tables, each dish's weight of a new table.  A dish's seating is the sizes of its tables.  In a sweep up to
-    MOVES of its customers, chosen at random, stand up one by one and sit down again: at a table with its size less the discount, or at a new one with the weight.
-    Dishes are taken together, by the width that their tables need."""
-    tables = first_tables(customers, weight(np.minimum(customers, 1)), discount, rng)
-    need = np.minimum(customers, np.maximum(tables + MOVES, 64))
-    groups, low = [], 1
-    while (need > low).any():
-        width = 2 * low
-        mine, low = np.flatnonzero((need > low) & (need <= width)), width
-        most = max(1, (1 << 22) // width)
-        for i in range(0, len(mine), most):
-            at = mine[i : i + most]
-            sizes = (np.arange(width) < tables[at][:, None]).astype(np.float64)
-            sizes[:, 0] += customers[at] - tables[at]
-            groups.append([at, sizes])
+    ``weight`` gives, from the numbers of tables, each dish's weight of a new table.  In a sweep all dishes' numbers of tables are drawn
+    anew given the weights, whatever their customers; sweeps go on until the weights have settled, ``burn`` at least."""
+    value = weight(np.minimum(customers, 1))
+    tables = first_tables(customers, value, discount, rng)
+    share = customers / max(1, customers.sum())
     out = np.empty((keep, len(customers)), np.int64)
-    for sweep in range(burn + keep):
+    sweep, last, calm = 0, np.log(np.maximum(value, 1e-300)) @ share, 0
+    while sweep < burn or calm < 2:
         value = weight(tables)
-        for group in groups:
-            at, sizes = group
-            n, fresh, row = customers[at], value[at], np.arange(len(at))
-            for _ in range(min(MOVES, sizes.shape[1])):
-                k = (np.cumsum(sizes, axis=1) <= (rng.random(len(at)) * n)[:, None]).sum(axis=1)
-                sizes[row, np.minimum(k, sizes.shape[1] - 1)] -= 1
-                some = sizes > 0
-                pull = np.cumsum(np.where(some, sizes - discount, 0), axis=1)
-                draw = rng.random(len(at)) * (pull[:, -1] + fresh)
-                new = draw >= pull[:, -1]
-                if some.all(axis=1)[new].any():  # no free place for another table
-                    sizes = np.hstack([sizes, np.zeros_like(sizes)])
-                    some = sizes > 0
-                    pull = np.hstack([pull, np.repeat(pull[:, -1:], pull.shape[1], axis=1)])
-                k = np.where(new, np.argmin(some, axis=1), (pull <= draw[:, None]).sum(axis=1))
-                sizes[row, k] += 1
-            group[1] = sizes
-            tables[at] = (sizes > 0).sum(axis=1)
-        if sweep >= burn:
-            out[sweep - burn] = tables
+        tables = draw_tables(customers, value, discount, rng)
+        now = np.log(np.maximum(value, 1e-300)) @ share
+        calm = calm + 1 if abs(now - last) <= SETTLED else 0
+        sweep, last = sweep + 1, now
+    for k in range(keep):
+        out[k] = tables = draw_tables(customers, weight(tables), discount, rng)
     return out
 
 
