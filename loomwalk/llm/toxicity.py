@@ -334,7 +334,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     """A model of the labelled documents that are not held out.
 
     The training set is a bounded sample: in the order of a hash of the id, up to SAMPLE_TOXIC toxic and SAMPLE_CLEAN clean documents and
-    SAMPLE_BYTES of text.  Only its ids, texts and labels come to the driver.  Null labels do not count; of an id with several labels, toxic wins.
+    SAMPLE_BYTES of text; a text that does not fit is skipped.  Only its ids, texts and labels come to the driver.  Null labels do not count; of an id with several labels, toxic wins.
     """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null").where(~held_out("id"))
     order = F.xxhash64("id")
@@ -342,16 +342,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     part = lambda y, n: known.where(F.col("y") == y).orderBy(order, "id").limit(n)
     ids = part(1, SAMPLE_TOXIC).unionByName(part(0, SAMPLE_CLEAN))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(F.broadcast(ids), "id").where("t is not null")
-    sizes = sorted((r.h, r.id, r.n) for r in rows.select("id", order.alias("h"), F.octet_length("t").alias("n")).collect())
-    total, last = 0, None
-    for h, i, n in sizes:
-        total += n
-        if total > SAMPLE_BYTES:
-            break
-        last = (h, i)
-    if last is None:
+    size = F.octet_length("t")
+    sizes = sorted((r.h, r.id, r.n, r.c) for r in rows.groupBy("id", size.alias("n")).agg(F.count(F.lit(1)).alias("c")).select("id", "n", "c", order.alias("h")).collect())
+    total, fit_in = 0, []
+    for _, i, n, c in sizes:
+        if total + n * c <= SAMPLE_BYTES:
+            total += n * c
+            fit_in.append((i, n))
+    if not fit_in:
         return train([], [])
-    rows = rows.where((order < last[0]) | ((order == last[0]) & (F.col("id") <= last[1])))
+    chosen = docs.sparkSession.createDataFrame(fit_in, "id long, n int")
+    rows = rows.withColumn("n", size).join(F.broadcast(chosen), ["id", "n"])
     table = rows.select("id", "t", "y").toArrow().sort_by([("id", "ascending"), ("t", "ascending")])
     return train(table["t"].to_pylist(), table["y"].to_pylist())
 
