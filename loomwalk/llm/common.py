@@ -104,6 +104,15 @@ def append_columns(
     return src.mapInArrow(run, schema).toDF(*names, *[n for n, _ in fields])
 
 
+#: A bitmap has so many bits, as powers of two: 32 for each key, up to a bound of 128 MB.
+LEAST_BITS, MOST_BITS = 16, 30
+
+
+def bitmap_bits(keys: int, most: int = MOST_BITS) -> int:
+    """The size of a bitmap for so many keys.  Beyond the bound more other rows pass; none that should is lost."""
+    return min(most, max(LEAST_BITS, (32 * max(1, keys) - 1).bit_length()))
+
+
 def bitmap_of(keys: DataFrame, key: Column, bits: int) -> DataFrame:
     """Rows (bucket, bitmap): a membership bitmap of 2**bits bits over hashed keys, at most 2**bits / 8 bytes in all.
 
@@ -118,10 +127,13 @@ def bitmap_of(keys: DataFrame, key: Column, bits: int) -> DataFrame:
     return made.select("bucket", F.transform(F.sequence(F.lit(1), F.octet_length("bitmap"), F.lit(4)), word).alias("bitmap"))
 
 
-def flag_in(df: DataFrame, key: Column, bitmap: DataFrame, bits: int, name: str = "__maybe") -> DataFrame:
-    """``df`` with a boolean: whether the key may be in the bitmap (no false negatives).  The bitmap is a broadcast of fixed size."""
+def flag_in(df: DataFrame, key: Column, keys: DataFrame, of: Column, *, name: str = "__maybe", most_bits: int = MOST_BITS) -> DataFrame:
+    """``df`` with a boolean: whether its key may be among the keys ``of`` (no false negatives).
+
+    ``keys`` is a written table, whose rows are counted; the bitmap that is broadcast has a size by that number, bounded by ``most_bits``."""
+    bits = bitmap_bits(keys.count(), most_bits)
     slot = F.pmod(F.xxhash64(key), F.lit(1 << bits))
-    bm = bitmap.select(F.col("bucket").alias("__bucket"), F.col("bitmap").alias("__bitmap"))
+    bm = bitmap_of(keys, of, bits).select(F.col("bucket").alias("__bucket"), F.col("bitmap").alias("__bitmap"))
     pos = F.bitmap_bit_position(slot)
     word = F.get("__bitmap", F.shiftright(pos, 5).cast("int")).cast("long") + F.lit(1 << 31)
     bit = (pos.bitwiseAND(F.lit(31).cast("long")).bitwiseXOR(F.lit(24).cast("long"))).cast("int")  # bytes of a word come largest first
@@ -129,9 +141,9 @@ def flag_in(df: DataFrame, key: Column, bitmap: DataFrame, bits: int, name: str
     return df.join(F.broadcast(bm), F.bitmap_bucket_number(slot) == F.col("__bucket"), "left").withColumn(name, F.coalesce(hit, F.lit(False))).drop("__bucket", "__bitmap")
 
 
-def maybe_in(df: DataFrame, key: Column, bitmap: DataFrame, bits: int) -> DataFrame:
-    """Rows whose key may be in the bitmap: what stands in front of an exact join, so that the other rows are not shuffled."""
-    return flag_in(df, key, bitmap, bits).where("__maybe").drop("__maybe")
+def maybe_in(df: DataFrame, key: Column, keys: DataFrame, of: Column, *, most_bits: int = MOST_BITS) -> DataFrame:
+    """Rows whose key may be among ``keys``: what stands in front of an exact join, so that the other rows are not shuffled."""
+    return flag_in(df, key, keys, of, most_bits=most_bits).where("__maybe").drop("__maybe")
 
 
 def utf8(texts: pa.Array) -> tuple[memoryview, "object"]:

@@ -7,10 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, cut, maybe_in
-
-#: 2**25 bits are 4 MB: the bound of what is broadcast, whatever the corpus.
-BITMAP_BITS = 25
+from .common import MOST_BITS, cut, maybe_in
 
 
 def _normal(text: Column) -> Column:
@@ -21,7 +18,7 @@ def content_hash(normal: Column) -> Column:
     return F.unhex(F.md5(normal.cast("binary")))
 
 
-def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hash_fn: Callable[[Column], Column] = content_hash, bitmap_bits: int = BITMAP_BITS) -> DataFrame:
+def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hash_fn: Callable[[Column], Column] = content_hash, bitmap_bits: int = MOST_BITS) -> DataFrame:
     """One row per input row: (doc_id, keep_id, group_size, kept, text_sha256, n_code_points).
 
     Texts are equal when they have the same bytes once ASCII white space is deleted.  Of equal texts the row
@@ -31,7 +28,7 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     gives no rows.
 
     Plan: (1) a scan leaves (id, hash, digest, length) per row; (2) hashes that occur more than once become
-    a bitmap of fixed size; (3) only rows whose hash is in it bring their text to the byte comparison, which is
+    a bitmap of bounded size; (3) only rows whose hash is in it bring their text to the byte comparison, which is
     a hash aggregate on (hash, normalised text) and so collapses copies before the shuffle; (4) groups join back
     on the hash.  Where two texts share a hash, rows are told apart by the text itself.
     """
@@ -39,7 +36,7 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     hashed = base.select("id", "len", "n", hash_fn(F.col("n")).alias("h"))
     rows = cut(hashed.select("id", "len", "h", F.sha2(F.col("n").cast("binary"), 256).alias("sha")), "exact-rows")
     multi = cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "exact-multi")
-    near = maybe_in(hashed, F.col("h"), bitmap_of(multi, F.col("h"), bitmap_bits), bitmap_bits)
+    near = maybe_in(hashed, F.col("h"), multi, F.col("h"), most_bits=bitmap_bits)
     texts = near.groupBy("h", "n").agg(F.count(F.lit(1)).alias("c"))
     clash = cut(texts.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h"), "exact-clash")
     if clash.isEmpty():

@@ -1,31 +1,36 @@
-"""Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, connected groups; DataFrame functions only."""
+"""Fuzzy line deduplication: sketches of normalised lines, pigeonhole blocks, edit similarity, connected groups; DataFrame functions only.
+
+A SimHash of equal weights can't serve lines: one replaced word in ten turns a tenth of the votes, about 9 of 64 bits, and blocks that survive
+that are too short to tell lines apart.  So the votes are weighted: the words of a line are ranked, and each outweighs all that come after it.  Then
+the bits are those of the first word's hash; left out, those of the second, and so on.  The sketch is the first SKETCH such hashes, and
+each is a block.  A replaced, inserted or deleted word changes one block of a line at most, wherever it stands, so lines that are two words apart
+agree in AGREE blocks of five for certain, and are joined on every choice of so many blocks.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, cut, flag_in, maybe_in
+from .common import cut, flag_in, maybe_in
 from .linkage import link_buckets, shared_buckets
 
-#: A line is at most so many characters; a longer one is cut into lines of this length.
-LINE_CHARS = 500
-#: Lines of fewer words are never dropped: they repeat by chance.
-MIN_WORDS = 5
-#: SimHashes of linked lines differ in at most so many bits; their edit similarity, in words, is at least SIMILARITY percent.
-MAX_BITS, SIMILARITY = 2, 80
-#: A line's features are some of its words, mostly the longest, which are rarely common ones.  An edit elsewhere in the line leaves the SimHash as it is.
-FEATURES = 7
-_BLOCKS = 4
-BITMAP_BITS = 25
-#: Counters of three bits, 21 to a long; each counts to FEATURES.
-_ONES = sum(1 << 3 * i for i in range(21))
+#: Blocks of a line, and how many of them candidates have in common.
+SKETCH, AGREE = 5, 3
+#: Least edit similarity of linked lines, in percent.
+SIMILARITY = 80
+#: Edit similarity counts characters, and words where a line has more characters than this.
+WORDWISE = 4000
 #: The least id: it stands for a null one, which sorts first.
 _NO_ID = -(1 << 63)
 
+#: Scripts that are written without spaces: their features are pairs of characters.
+_DENSE = r"\x{E00}-\x{EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{2FDF}\x{3005}-\x{3007}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9F}\x{20000}-\x{3FFFF}"
+#: Letters and digits: all but the rest of ASCII and the punctuation of Latin-1, of Unicode and of full width.  The common ones come first.
+_WORD = r"a-z0-9[\xAA\xB5\xBA\xC0-\x{1FFF}\x{2070}-\x{2FFF}\x{3005}-\x{3007}\x{3040}-\x{30FA}\x{30FC}-\x{FEFF}\x{FF10}-\x{FF19}\x{FF21}-\x{FF3A}\x{FF41}-\x{FF5A}\x{FF66}-\x{10FFFF}]"
+
 
 def _once(df: DataFrame, keep: list[str], value: Column, name: str) -> DataFrame:
     """``df`` with a column that later filters read but don't compute again: predicates are not pushed through a generator."""
@@ -33,234 +38,203 @@ def _once(df: DataFrame, keep: list[str], value: Column, name: str) -> DataFrame
 
 
 def lines_of(text: Column) -> Column:
-    """The lines of a text, each with its line end; joined they are the text."""
-    return F.regexp_extract_all(text, F.lit(rf"[^\n]{{1,{LINE_CHARS}}}\n?|\n"), F.lit(0))
+    """The lines of a text with their line ends, and an empty string after a last line end; joined they are the text."""
+    return F.split(text, r"(?<=\n)")
 
 
-def words_of(line: Column) -> Column:
-    """The words of a line: runs of letters, digits and non-ASCII characters, lower-cased."""
-    return F.regexp_extract_all(F.lower(line), F.lit(r"[a-z0-9\x80-\x{10FFFF}]+"), F.lit(0))
-
+def normal_line(line: Column) -> Column:
+    """The lower-cased words of a line with one space between two of them."""
+    return F.trim(F.regexp_replace(F.lower(line), f"[^{_WORD} ][^{_WORD}]*| [^{_WORD}]+", " "))
 
-def simhash(features: Column) -> Column:
-    """Bit j of 63 is set if more than half of the features (an array of at most seven longs) have bit j of their hashes set.
 
-    Three longs of three-bit counters start at a bias, such that more than half of the features bring a counter to four or more, its third bit."""
-    ones, n = F.lit(_ONES).cast("long"), F.size(features)
-    there = [(F.lit(i) < n).cast("long") for i in range(FEATURES)]
-    hashes = [F.xxhash64(F.get(features, F.lit(i))) for i in range(FEATURES)]
-    out = F.lit(0).cast("long")
-    for k in range(3):
-        lane = ones * (F.lit(3) - F.shiftright(n, 1))
-        for h, x in zip(hashes, there):
-            lane = lane + F.shiftrightunsigned(h, k).bitwiseAND(ones) * x
-        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(lane, 2).bitwiseAND(ones), k))
-    return out
+def _dense(norm: Column) -> Column:
+    """Most characters take three bytes or more."""
+    return F.octet_length(norm) > 2 * F.length(norm)
 
 
-def features_of(words: Column) -> Column:
-    """Of seven distinct words, mostly the longest: those whose hashes, halved once for each byte, are least."""
-    key = lambda w: F.call_function("shiftrightunsigned", F.xxhash64(w), F.octet_length(w))
-    return F.slice(F.sort_array(F.array_distinct(F.transform(words, key))), 1, FEATURES)
+def features_of(norm: Column) -> Column:
+    """The words of a line; in scripts without spaces, its pairs of neighbouring characters."""
+    return F.when(_dense(norm), F.regexp_extract_all(norm, F.lit(r"(?=(\S\S))"), F.lit(1))).otherwise(F.split(norm, " "))
 
 
-def _blocks(bits: Column) -> Column:
-    """Keys of the pigeonhole blocks: hashes that differ in two bits agree in two of four 16-bit blocks at least."""
-    block = [F.shiftrightunsigned(bits, 16 * i).bitwiseAND(F.lit(0xFFFF).cast("long")) for i in range(_BLOCKS)]
-    pairs = combinations(range(_BLOCKS), _BLOCKS - MAX_BITS)
-    return F.array(*[F.lit(n << 32).cast("long") + block[i] * 65536 + block[j] for n, (i, j) in enumerate(pairs)])
+def sketch(features: Column) -> Column:
+    """The blocks of a line: the least hashes of its features, each halved for every byte, so that long words, which are mostly rare, come first."""
+    rank = lambda w: F.call_function("shiftrightunsigned", F.xxhash64(w), F.octet_length(w))
+    return F.slice(F.sort_array(F.array_distinct(F.transform(features, rank))), 1, SKETCH)
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, words) of the lines of (doc_id, text) that have enough words."""
-    lines = docs.select("doc_id", F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
-    # A repeated line comes in many documents and a long text has many lines: rows, not arrays, from here on.
-    return _once(lines, ["doc_id", "pos"], words_of(F.col("line")), "words").where(F.size("words") >= MIN_WORDS)
+def _keys(blocks: list[Column]) -> Column:
+    """Hashes of every choice of AGREE blocks; missing blocks are null."""
+    return F.array_compact(F.array(*[F.when(x[-1].isNotNull(), F.xxhash64(*x)) for x in combinations(blocks, AGREE)]))
 
 
-def _node(words: Column) -> Column:
-    return F.unhex(F.md5(F.array_join(words, " ").cast("binary")))
+def _pieces(norm: Column) -> Column:
+    return F.regexp_extract_all(norm, F.lit(f"[{_DENSE}]|[^ {_DENSE}]+"), F.lit(0))
 
 
 def _code(words: Column) -> Column:
-    """The words as characters, 16 bits of a hash each: edit distances of such strings count words."""
-    return F.decode(F.unhex(F.array_join(F.transform(words, lambda w: F.hex(F.pmod(F.xxhash64(w), F.lit(50_000)) + 4096)), "")), "UTF-16BE")
+    """The words as characters, 20 bits of a hash each: edit distances of such strings count words."""
 
+    def character(w: Column) -> Column:
+        h = F.xxhash64(w)
+        high, low = F.shiftright(h, 10).bitwiseAND(F.lit(1023)), h.bitwiseAND(F.lit(1023))
+        return F.hex(F.lit(0xD800DC00).cast("long") + high * 65536 + low)  # a surrogate pair
 
-def _drop_lists(rows: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
-    """(doc_id, drop) from the places (doc_id, pos, node), the distinct lines (node, n) and the groups (node, component) of the linked ones."""
-    # Only lines that are linked or occur twice matter from here on.
-    linked = maybe_in(classes, F.col("node"), bitmap_of(comp, F.col("node"), BITMAP_BITS), BITMAP_BITS).join(comp, "node")
-    alone = classes.where("n > 1").join(comp, "node", "left_anti").withColumn("component", F.col("node"))
-    grouped = cut(linked.select("node", "component").unionByName(alone.select("node", "component")), "line-groups")
-    # A common line is a common key of this join, whose rows are a few bytes; skewed keys are split at run time.
-    near = maybe_in(rows.select("doc_id", "pos", "node"), F.col("node"), bitmap_of(grouped, F.col("node"), BITMAP_BITS), BITMAP_BITS)
-    near = cut(near.join(grouped, "node").select("doc_id", "pos", "component"), "line-places")
-    first = near.groupBy("component").agg(F.min("doc_id").alias("doc"))
-    keep = near.join(first, "component").where("doc_id = doc").groupBy("component").agg(F.min("doc").alias("doc"), F.min("pos").alias("at"))
-    gone = near.join(keep, "component").where("doc_id <> doc or pos <> at")
-    return gone.groupBy(F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")).alias("doc_id")).agg(F.array_sort(F.collect_set("pos")).alias("drop"))
+    return F.decode(F.unhex(F.array_join(F.transform(words, character), "")), "UTF-16BE")
 
 
-def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, drop): for each document with lines to drop, their sorted 0-based numbers."""
-    src = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    found = _once(_occurrences(src).select("doc_id", "pos", _node(F.col("words")).alias("node"), "words"), ["doc_id", "pos", "node"], features_of(F.col("words")), "features")
-    rows = cut(found.select("doc_id", "pos", "node", simhash(F.col("features")).alias("simhash")), "line-rows")
-    classes = cut(rows.groupBy("node").agg(F.min("simhash").alias("simhash"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("home")), "line-classes")
-    buckets = shared_buckets(classes.select("node", F.explode(_blocks(F.col("simhash"))).alias("bucket")), "line-buckets")
-    wanted = cut(buckets.select("node").dropDuplicates().join(classes, "node").select("node", "simhash", "home"), "line-wanted")
-    homes = maybe_in(src, F.col("doc_id"), bitmap_of(wanted, F.col("home"), BITMAP_BITS), BITMAP_BITS)
-    again = _once(_occurrences(homes).select(F.col("doc_id").alias("home"), "words"), ["home", "words"], _node(F.col("words")), "node")
-    near = maybe_in(again, F.col("node"), bitmap_of(wanted, F.col("node"), BITMAP_BITS), BITMAP_BITS).select("home", "node", _code(F.col("words")).alias("code"))
-    texts = cut(near.join(wanted, ["node", "home"]).dropDuplicates(["node"]).select("node", "simhash", "code"), "line-texts")
+def _let(value: Column, f) -> Column:
+    """``f(value)``, the value computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda x: texts.select(F.col("node").alias(x), F.col("simhash").alias(f"s{x}"), F.col("code").alias(f"t{x}"))
-        longer = F.greatest(F.length("ta"), F.length("tb"))
-        close = pairs.join(side("a"), "a").join(side("b"), "b").where(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= MAX_BITS)
-        close = close.where(F.least(F.length("ta"), F.length("tb")) * 100 >= longer * SIMILARITY)
-        return close.where((longer - F.levenshtein("ta", "tb")) * 100 >= longer * SIMILARITY).select("a", "b")
 
-    _, comp = link_buckets(buckets, verify)
-    return _drop_lists(rows, classes, comp)
+def _once_in(words: Column) -> Column:
+    """The words that come once, in their order."""
+    twice = _let(F.sort_array(words), lambda s: F.filter(s, lambda w, i: w == F.get(s, i + 1)))
+    return F.array_except(words, twice)
 
 
-def _without(docs: DataFrame, drops: DataFrame, split: Callable[[Column], Column], id_col: str, text_col: str) -> DataFrame:
-    """``docs`` less the lines in ``drops`` (doc_id, drop), which count the lines that ``split`` makes, with (n_lines, n_dropped)."""
-    drops = cut(drops, "line-drops")
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col(f"`{id_col}`").cast("long").alias("__id"))
-    flagged = flag_in(packed, F.coalesce("__id", F.lit(-1)), bitmap_of(drops, F.coalesce("doc_id", F.lit(-1)), BITMAP_BITS), BITMAP_BITS)
-    text = F.col(f"__row.`{text_col}`")
-    lines = split(F.coalesce(text, F.lit("")))
-    # Shuffled, as the lists grow with the corpus; built from the lists, so that texts aren't sorted.
-    changed = flagged.where("__maybe").join(drops.hint("shuffle_hash"), F.col("__id").eqNullSafe(F.col("doc_id")), "left").withColumn("__lines", lines)
-    kept = F.array_join(F.filter("__lines", lambda x, i: ~F.array_contains("drop", i)), "")
-    changed = changed.select("__row", F.when(F.col("drop").isNull(), text).otherwise(kept).alias("__text"), F.size("__lines").cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"))
-    same = flagged.where("not __maybe").select("__row", text.alias("__text"), F.size(lines).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
-    out = changed.unionByName(same)
-    return out.select(*[F.col("__text").alias(c) if c == text_col else F.col(f"__row.`{c}`").alias(c) for c in names], "n_lines", "n_dropped")
+def _total(parts: Column) -> Column:
+    return F.aggregate(parts, F.lit(0), lambda s, d: s + d)
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``text`` less its repeated lines, and (n_lines, n_dropped) added.
+def _difference(x: Column, y: Column) -> Column:
+    return F.zip_with(x, y, lambda a, b: F.when(a == b, 0).otherwise(F.levenshtein(a, b)))
 
-    A line is a run up to a line end, of at most 500 characters (longer ones are cut).  Lines are compared by their lower-cased words: runs of
-    letters, digits and non-ASCII characters; those of fewer than five words always stay.  Two lines are linked if they have the same
-    words, or if their SimHashes differ in at most 2 of 63 bits and their edit similarity, counted in words, is at least 0.8.  A
-    SimHash is taken over seven words of a line, mostly its longest.
-    Of each connected group the occurrence with the smallest (id, line number) stays; all others go, also within one document.
 
-    Null texts count as empty and stay null; empty texts have no lines.  Rows that repeat an id are taken as one document and treated alike; a null id sorts
-    first.  Other columns pass through whatever their names, save that ``n_lines`` and ``n_dropped`` are replaced.
+def anchored(x: Column, y: Column, most: Column) -> Column:
+    """Whether the edit distance of two lines, given as words, is at most ``most`` when words that both have once, in the same order, stay in place.
 
-    Texts move only for documents that lose lines, and once.
-    """
-    return _without(docs, repeated_lines(docs, id_col=id_col, text_col=text_col), lines_of, id_col, text_col)
+    That distance is never below the plain one and mostly equal to it; but only what lies between such words is compared character by character."""
 
+    def between(words: Column, anchors: Column) -> Column:
+        return F.split(F.array_join(F.transform(words, lambda w: F.when(F.array_contains(anchors, w), "\n").otherwise(w)), " "), "\n")
 
-# --- whole lines -----------------------------------------------------------------------------------------------
-#: Scripts that are written without spaces: each character is a word.
-_DENSE = r"\x{E00}-\x{EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{2FDF}\x{3005}-\x{3007}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9F}\x{20000}-\x{3FFFF}"
-#: What is no part of a word: ASCII other than letters and digits, and the punctuation of Latin-1, of Unicode and of full width.
-_BREAKS = r"\x00-\x2F\x3A-\x60\x7B-\xA9\xAB-\xB4\xB6-\xB9\xBB-\xBF\x{2000}-\x{206F}\x{3000}-\x{3004}\x{3008}-\x{303F}\x{30FB}\x{FF00}-\x{FF0F}\x{FF1A}-\x{FF20}\x{FF3B}-\x{FF40}\x{FF5B}-\x{FF65}"
-#: Candidates share a sketch: the least two of a line's pairs of neighbouring words, in BANDS random orders; in lines of up to SHORT words also the least three words.
-BANDS, SHORT = 12, 15
-#: Edit similarity counts characters, and words where the longer line has more characters than this.
-WORDWISE = 4000
+    def common(once: Column) -> Column:
+        same = F.zip_with(F.array_intersect(once["x"], once["y"]), F.array_intersect(once["y"], once["x"]), lambda a, b: F.when(a == b, a))
+        return F.array_compact(same)
 
+    def close(gap: Column) -> Column:
+        least = _total(F.zip_with(gap["x"], gap["y"], lambda a, b: F.abs(F.length(a) - F.length(b))))
+        return F.when(least > most, False).otherwise(_total(_difference(gap["x"], gap["y"])) <= most)
 
-def whole_lines_of(text: Column) -> Column:
-    """The lines of a text whatever their length, each with its line end; joined they are the text."""
-    return F.regexp_extract_all(text, F.lit(r"[^\n]+\n?|\n"), F.lit(0))
+    once = F.struct(_once_in(x).alias("x"), _once_in(y).alias("y"))
+    return _let(_let(once, common), lambda anchors: _let(F.struct(between(x, anchors).alias("x"), between(y, anchors).alias("y")), close))
 
 
-def normal_line(line: Column) -> Column:
-    """The lower-cased words of a line with a space between what was apart."""
-    return F.trim(F.regexp_replace(F.lower(line), f"[{_BREAKS}]+", " "))
+def similar(ta: Column, tb: Column, ca: Column, cb: Column) -> Column:
+    """Whether the edit similarity is at least SIMILARITY percent: of the lines, or of their words as characters where a line is null.
 
+    Lines whose words differ one for one are compared so; others share AGREE out of SKETCH words at least, by the line with more different ones, and are compared
+    between anchors; those in scripts without spaces plainly."""
 
-def _dense(norm: Column) -> Column:
-    """Most characters take three bytes or more."""
-    return F.octet_length(norm) > 2 * F.length(norm)
+    def most(x: Column, y: Column) -> Column:
+        return F.floor(F.greatest(F.length(x), F.length(y)) * (100 - SIMILARITY) / 100).cast("int")
 
+    def within(x: Column, y: Column) -> Column:
+        return F.call_function("levenshtein", x, y, most(x, y)) >= 0
 
-def _pieces(norm: Column) -> Column:
-    return F.regexp_extract_all(norm, F.lit(f"[{_DENSE}]|[^ {_DENSE}]+"), F.lit(0))
+    def near(x: Column, y: Column) -> Column:
+        return F.abs(F.length(x) - F.length(y)) <= most(x, y)
 
+    x, y = F.split(ta, " "), F.split(tb, " ")
+    share = F.size(F.array_intersect(x, y)) * SKETCH >= F.greatest(F.size(F.array_distinct(x)), F.size(F.array_distinct(y))) * AGREE
+    word_by_word = (F.size(x) == F.size(y)) & (_total(_difference(x, y)) <= most(ta, tb))
+    plain = F.when(word_by_word, True).when(_dense(ta), within(ta, tb)).when(~share, False).otherwise(anchored(x, y, most(ta, tb)))
+    return F.when(ta.isNotNull() & tb.isNotNull(), near(ta, tb) & plain).otherwise(near(ca, cb) & within(ca, cb))
 
-def sketches(words: Column) -> tuple[Column, Column]:
-    """Hashes of the words of a line, and of its pairs of neighbouring words; no word weighs more than another.  The words of longer lines are null."""
-    one = F.transform(words, lambda w: F.xxhash64(w))
-    two = F.zip_with(one, F.slice(one, 2, F.greatest(F.size(one) - 1, F.lit(1))), lambda a, b: F.xxhash64(a, b))
-    two = F.when(F.size(one) > 1, F.slice(two, 1, F.greatest(F.size(one) - 1, F.lit(1)))).otherwise(two)
-    return F.when(F.size(one) <= SHORT, F.array_distinct(one)), F.array_distinct(two)
 
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, mark, text): rows with the same id are told apart by a hash of their text."""
+    src = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    return src.select("doc_id", F.xxhash64("text").alias("mark"), "text")
 
-def sketch(hashes: Column, band: int, ranks: int) -> Column:
-    """A hash of the least ``ranks`` hashes in the order of this band."""
-    return F.hash(F.slice(F.sort_array(F.transform(hashes, lambda h: F.xxhash64(F.lit(band), h))), 1, ranks))
 
+def _lines(src: DataFrame) -> DataFrame:
+    return src.select("doc_id", "mark", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
-def _whole(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, norm) of the lines of (doc_id, text) that have a word."""
-    lines = docs.select("doc_id", F.posexplode(whole_lines_of(F.col("text"))).alias("pos", "line"))
-    return _once(lines, ["doc_id", "pos"], normal_line(F.col("line")), "norm").where("norm <> ''")
 
+_PLACE = ["doc_id", "mark", "pos"]
 
-def similar(ta: Column, tb: Column, ca: Column, cb: Column) -> Column:
-    """Whether the edit similarity is at least SIMILARITY percent: of the lines, or of their words as characters where a line is null."""
-    def close(x: Column, y: Column) -> Column:
-        longer = F.greatest(F.length(x), F.length(y))
-        most = F.floor(longer * (100 - SIMILARITY) / 100).cast("int")
-        return (F.abs(F.length(x) - F.length(y)) <= most) & (F.call_function("levenshtein", x, y, most) >= 0)
 
-    return F.when(ta.isNotNull() & tb.isNotNull(), close(ta, tb)).otherwise(close(ca, cb))
+def _drop_lists(rows: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
+    """(doc_id, mark, drop) from the places (doc_id, mark, pos, node), the distinct lines (node, n) and the groups (node, component) of the linked ones."""
+    # Only lines that are linked or occur twice matter from here on.
+    linked = maybe_in(classes, F.col("node"), comp, F.col("node")).join(comp, "node")
+    alone = classes.where("n > 1").join(comp, "node", "left_anti").withColumn("component", F.col("node"))
+    grouped = cut(linked.select("node", "component").unionByName(alone.select("node", "component")), "line-groups")
+    # A common line is a common key of these joins, whose rows are a few bytes; skewed keys are split at run time.
+    near = maybe_in(rows.select(*_PLACE, "node"), F.col("node"), grouped, F.col("node"))
+    near = cut(near.join(grouped, "node").select(*_PLACE, "component"), "line-places")
+    first = cut(near.groupBy("component").agg(F.min(F.struct(*_PLACE)).alias("first")), "line-firsts")
+    gone = near.join(first, "component").where(F.struct(*_PLACE) != F.col("first"))
+    return gone.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
 
 
-def repeated_whole_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, drop): for each document with lines to drop, their sorted 0-based numbers."""
-    src = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    node = F.unhex(F.md5(F.col("norm").cast("binary"))).alias("node")
-    words = F.when(_dense(F.col("norm")), _pieces(F.col("norm"))).otherwise(F.split("norm", " "))
-    names = [f"b{i}" for i in range(2 * BANDS)]
-    found = _once(_whole(src).select("doc_id", "pos", node, "norm"), ["doc_id", "pos", "node"], words, "words")
-    found = _once(found, ["doc_id", "pos", "node"], F.struct(*[c.alias(n) for n, c in zip(("one", "two"), sketches(F.col("words")))]), "s")
-    bands = [sketch(F.col("s.two"), i, 2) for i in range(BANDS)] + [F.when(F.col("s.one").isNotNull(), sketch(F.col("s.one"), i, 3)) for i in range(BANDS, 2 * BANDS)]
-    rows = cut(found.select("doc_id", "pos", "node", *[c.alias(b) for c, b in zip(bands, names)]), "line-rows")
-    classes = cut(rows.groupBy("node").agg(*[F.min(b).alias(b) for b in names], F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("home")), "line-classes")
-    keys = F.array_compact(F.array(*[F.when(F.col(b).isNotNull(), F.xxhash64(F.lit(i), F.col(b))) for i, b in enumerate(names)]))
-    buckets = shared_buckets(classes.select("node", F.explode(keys).alias("bucket")), "line-buckets")
+def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, mark, drop): for each document with lines to drop, their sorted 0-based numbers.
+
+    Documents are read twice: for the sketches of all lines, and for the characters of those that share a key with another line."""
+    src = _documents(docs, id_col, text_col)
+    node = F.unhex(F.md5(F.col("norm").cast("binary")))
+    found = _once(_lines(src), _PLACE, normal_line(F.col("line")), "norm").where("norm <> ''")
+    found = _once(found, [*_PLACE, "norm"], sketch(features_of(F.col("norm"))), "sketch")
+    blocks = [f"s{i}" for i in range(SKETCH)]
+    rows = cut(found.select(*_PLACE, node.alias("node"), F.length("norm").alias("size"), *[F.get("sketch", F.lit(i)).alias(b) for i, b in enumerate(blocks)]), "line-rows")
+    place = F.xxhash64(*_PLACE)
+    classes = rows.groupBy("node").agg(*[F.min(b).alias(b) for b in blocks], F.min("size").alias("size"), F.count(F.lit(1)).alias("n"), F.min(place).alias("home"))
+    classes = cut(classes, "line-classes")
+    buckets = shared_buckets(classes.select("node", "size", F.explode(_keys([F.col(b) for b in blocks])).alias("bucket")), "line-buckets")
     wanted = cut(buckets.select("node").dropDuplicates().join(classes, "node").select("node", "home"), "line-wanted")
-    homes = maybe_in(src, F.col("doc_id"), bitmap_of(wanted, F.col("home"), BITMAP_BITS), BITMAP_BITS)
-    again = _once(_whole(homes).select(F.col("doc_id").alias("home"), "norm"), ["home", "norm"], F.unhex(F.md5(F.col("norm").cast("binary"))), "node")
-    near = maybe_in(again, F.col("node"), bitmap_of(wanted, F.col("node"), BITMAP_BITS), BITMAP_BITS)
+    again = maybe_in(_lines(src).withColumn("home", place), F.col("home"), wanted, F.col("home"))
+    again = _once(again, ["home"], normal_line(F.col("line")), "norm").select("home", "norm", node.alias("node"))
     chars = F.length("norm")
-    near = near.select("home", "node", F.when(chars <= WORDWISE, F.col("norm")).alias("line"), F.when(chars > WORDWISE // 4, _code(_pieces(F.col("norm")))).alias("code"))
-    texts = cut(near.join(wanted, ["node", "home"]).dropDuplicates(["node"]).select("node", "line", "code"), "line-texts")
+    texts = again.join(wanted, ["node", "home"]).dropDuplicates(["node"])
+    texts = cut(texts.select("node", F.when(chars <= WORDWISE, F.col("norm")).alias("line"), F.when(chars > WORDWISE * SIMILARITY // 100 - 1, _code(_pieces(F.col("norm")))).alias("code")), "line-texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         side = lambda x: texts.select(F.col("node").alias(x), F.col("line").alias(f"t{x}"), F.col("code").alias(f"c{x}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").where(similar(*[F.col(c) for c in ("ta", "tb", "ca", "cb")])).select("a", "b")
 
-    _, comp = link_buckets(buckets, verify)
+    _, comp = link_buckets(buckets, verify, SIMILARITY)
     return _drop_lists(rows, classes, comp)
 
 
-def dedup_whole_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``text`` less its repeated lines, and (n_lines, n_dropped) added; what the query does.
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with ``text`` less its repeated lines, and (n_lines, n_dropped) added.
 
     A line is a run up to a line end, whatever its length.  Lines are compared by their lower-cased words, between which stands one space.  Equal
-    lines are always linked, however short; lines without a word always stay.  Others are candidates if they share one of their
-    sketches, over all words, and linked if their edit similarity is at least 0.8: in characters, or in words where a line has more than WORDWISE
-    characters.  In scripts without spaces each character counts as a word.  What stays, ids, nulls and columns are as in :func:`dedup_lines`.
+    lines are always linked, however short; lines without a word always stay.  Other lines are candidates if they share AGREE of their SKETCH
+    blocks (so they have three different words at least), and linked if their lengths differ by a fifth at most and their edit similarity
+    is at least 0.8: in characters, with words that both lines have once, in the same order, kept in place, or in words where a line has more than WORDWISE
+    characters.  Lines with three fifths of their words in common are compared, and those that differ word for word.  In scripts without spaces each pair of characters counts as a word of the sketch.
+    Of each connected group the occurrence with the smallest (id, hash of the text, line number) stays; all others go, also within one document.
+
+    Null texts count as empty and stay null; empty texts have no lines.  Rows that repeat an id are documents of their own; those that
+    repeat id and text are one and treated alike.  A null id sorts first; other ids are whole numbers.  Other columns pass through
+    whatever their names, save that ``n_lines`` and ``n_dropped`` are replaced.
+
+    Texts move only for documents that lose lines, and once.
     """
-    return _without(docs, repeated_whole_lines(docs, id_col=id_col, text_col=text_col), whole_lines_of, id_col, text_col)
+    drops = cut(repeated_lines(docs, id_col=id_col, text_col=text_col), "line-drops")
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("__id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("__mark"))
+    flagged = flag_in(packed, F.xxhash64("__id", "__mark"), drops, F.xxhash64("doc_id", "mark"))
+    text = F.col(f"__row.`{text_col}`")
+    parts = F.split(F.coalesce(text, F.lit("")), "\n")
+    n_lines = (F.size(parts) - (F.element_at(parts, -1) == "").cast("int")).cast("long")
+    # Shuffled, as the lists grow with the corpus; built from the lists, so that texts aren't sorted.
+    changed = flagged.where("__maybe").join(drops.hint("shuffle_hash"), (F.col("__id") == F.col("doc_id")) & (F.col("__mark") == F.col("mark")), "left")
+    changed = changed.withColumn("__lines", lines_of(F.coalesce(text, F.lit(""))))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "drop"), lambda i: F.get("__lines", i))
+    changed = changed.select("__row", F.when(F.col("drop").isNull(), text).otherwise(F.array_join(kept, "")).alias("__text"), n_lines.alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    same = flagged.where("not __maybe").select("__row", text.alias("__text"), n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+    out = changed.unionByName(same)
+    return out.select(*[F.col("__text").alias(c) if c == text_col else F.col(f"__row.`{c}`").alias(c) for c in names], "n_lines", "n_dropped")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """Per document: (doc_id, n_lines, n_dropped, n_chars, text_sha256) of the text that is left."""
-    out = dedup_whole_lines(docs.select("doc_id", "text"))
+    out = dedup_lines(docs.select("doc_id", "text"))
     text = F.coalesce("text", F.lit(""))
     return out.select("doc_id", "n_lines", "n_dropped", F.length(text).cast("long").alias("n_chars"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))

@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, cut, maybe_in
+from .common import cut, maybe_in
 
 #: Ranks of the members of a bucket that lead it, round by round: up to the 1st, the 32nd, the 256th, then eight times more each round.
 LEADERS = (1, 32, 256)
-BITMAP_BITS = 25
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -53,18 +52,17 @@ def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def shared_buckets(buckets: DataFrame, name: str = "buckets") -> DataFrame:
-    """Of distinct rows (bucket: a long, node), those whose bucket has several nodes, as (bucket, node, c: its size); written out.
+    """Of distinct rows (bucket: a long, node, size), those whose bucket has several nodes, with c: how many; written out.
 
-    Sizes are counted without the nodes; a bitmap of the shared buckets then keeps most other rows from being shuffled."""
-    size = cut(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), f"{name}-sizes")
-    near = maybe_in(buckets, F.col("bucket"), bitmap_of(size, F.col("bucket"), BITMAP_BITS), BITMAP_BITS)
-    return cut(near.join(size, "bucket").select("bucket", "node", "c"), name)
+    Buckets are counted without the nodes; a bitmap of the shared ones then keeps most other rows from being shuffled."""
+    shared = cut(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), f"{name}-shared")
+    return cut(maybe_in(buckets, F.col("bucket"), shared, F.col("bucket")).join(shared, "bucket").select("bucket", "node", "size", "c"), name)
 
 
-def link_buckets(live: DataFrame, verify: Callable[[DataFrame], DataFrame], finish: Callable[[DataFrame], DataFrame] | None = None, most: int = 32) -> tuple[DataFrame, DataFrame]:
-    """(links, components) of the nodes that share a bucket and pass ``verify``.
+def link_buckets(live: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, finish: Callable[[DataFrame], DataFrame] | None = None, most: int = 32) -> tuple[DataFrame, DataFrame]:
+    """(links, components) of the nodes that share a bucket, whose smaller size is ``percent`` of the larger at least, and that pass ``verify``.
 
-    ``live``: what :func:`shared_buckets` makes of distinct rows (bucket, node).  ``verify`` takes candidate pairs (a, b) and returns those that are linked.
+    ``live``: what :func:`shared_buckets` makes of distinct rows (bucket, node, size).  ``verify`` takes candidate pairs (a, b) and returns those that are linked.
     In the first round the smallest node of each bucket leads it and is compared with the other members.  A bucket whose members
     then lie in one component is done: further links inside it would change nothing.  In what is left, the next members lead, and are
     compared with the later members of other components, until no bucket is left or all members have led.  So no link
@@ -73,8 +71,9 @@ def link_buckets(live: DataFrame, verify: Callable[[DataFrame], DataFrame], fini
     ``finish`` may take over the unfinished buckets of more than ``most`` members after the first round, as rows (bucket, node); it
     returns links (a, b) that connect what is linked inside each bucket, without a row per pair.
     """
-    lead = live.groupBy("bucket").agg(F.min("node").alias("a"))
-    pairs = live.join(lead, "bucket").where("node <> a").select("a", F.col("node").alias("b")).dropDuplicates()
+    alike = F.lit(100) * F.least("size", "sa") >= F.lit(percent) * F.greatest("size", "sa")
+    lead = live.groupBy("bucket").agg(F.min(F.struct("node", "size")).alias("l")).select("bucket", F.col("l.node").alias("a"), F.col("l.size").alias("sa"))
+    pairs = live.join(lead, "bucket").where("node <> a").where(alike).select("a", F.col("node").alias("b")).dropDuplicates()
     links = cut(verify(pairs).select("a", "b"), "links")
     comp = cut(components(links), "components")
     low, k = 1, 1
@@ -91,11 +90,11 @@ def link_buckets(live: DataFrame, verify: Callable[[DataFrame], DataFrame], fini
             live = live.where(F.col("c") <= most)
         high = LEADERS[k] if k < len(LEADERS) else low * 8
         rank = F.row_number().over(W.partitionBy("bucket").orderBy("node"))
-        lead = live.select("bucket", "node", "component", rank.alias("r")).where(F.col("r") <= high).where(F.col("r") > low)
-        lead = lead.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"))
-        pairs = lead.join(live, "bucket").where("node > a and ca <> component").select("a", F.col("node").alias("b")).dropDuplicates()
+        lead = live.select("bucket", "node", "size", "component", rank.alias("r")).where(F.col("r") <= high).where(F.col("r") > low)
+        lead = lead.select("bucket", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("component").alias("ca"))
+        pairs = lead.join(live, "bucket").where("node > a and ca <> component").where(alike).select("a", F.col("node").alias("b")).dropDuplicates()
         found = verify(pairs).select("a", "b")
         new = cut(found if more is None else found.unionByName(more), "links")
-        live, low, k = live.select("bucket", "node", "c"), high, k + 1
+        live, low, k = live.select("bucket", "node", "size", "c"), high, k + 1
         if not new.isEmpty():
             links, comp = links.unionByName(new), joined(comp, new)

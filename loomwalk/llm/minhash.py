@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, bitmap_of, cut, maybe_in, utf8
+from .common import append_columns, cut, maybe_in, utf8
 from .linkage import link_buckets, shared_buckets
 from .words import mix, shingle_set
 
@@ -19,7 +19,6 @@ SHINGLE = 5
 #: 28 bands of 7 coordinates: a pair at Jaccard 0.85 shares no band with probability 2e-5.
 BANDS, ROWS = 28, 7
 _DOMAIN_BITS = 20
-BITMAP_BITS = 25
 
 
 @lru_cache(maxsize=2)
@@ -162,33 +161,25 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, shingle: int = SHINGL
     profile = cut(append_columns(src, "text", fields, _profile(bands, rows, shingle), keep=["doc_id"]), "minhash-profile")
     # array<long> is not orderable by hash aggregation but first() of equal values is: equal sets have equal bands.
     classes = cut(profile.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "minhash-classes")
-    buckets = classes.select("node", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node")
+    buckets = classes.select("node", F.col("n").alias("size"), F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node", "size")
     buckets = shared_buckets(buckets, "minhash-buckets")
     wanted = buckets.select("node").dropDuplicates().join(classes.select("node", "rep", "n"), "node")
     wanted = cut(wanted.withColumn("rep", F.coalesce("rep", F.lit(-1))), "minhash-wanted")
     keyed = src.withColumn("rep", F.coalesce("doc_id", F.lit(-1)))
-    near = maybe_in(keyed, F.col("rep"), bitmap_of(wanted, F.col("rep"), BITMAP_BITS), BITMAP_BITS)
+    near = maybe_in(keyed, F.col("rep"), wanted, F.col("rep"))
     found = append_columns(near, "text", [("node", T.BinaryType()), ("hashes", T.ArrayType(T.LongType(), False))], _sets(shingle), keep=["rep"])
     sets = found.join(wanted, ["node", "rep"]).groupBy("node").agg(F.first("hashes").alias("hashes"), F.first("n").alias("n"))
     sets = cut(sets, "minhash-sets")
-    sizes = sets.select("node", "n")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        able = (
-            pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
-            .join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-            .where(F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
-        )
-        left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
-        right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
-        both = F.size(F.array_intersect("ha", "hb"))
-        full = able.join(right, "b").join(left, "a").select("a", "b", "na", "nb", both.alias("both"))
-        return full.where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("both")))
+        side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("hashes").alias(f"h{x}"))
+        full = pairs.join(side("b"), "b").join(side("a"), "a").withColumn("both", F.size(F.array_intersect("ha", "hb")))
+        return full.where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
     def finish(live: DataFrame) -> DataFrame:
         return _linked_in_blocks(live, sets, percent)
 
-    _, comp = link_buckets(buckets, verify, finish)
+    _, comp = link_buckets(buckets, verify, percent, finish)
     named = classes.select("node", "rep").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "component").select("node", "component_id")

@@ -1,7 +1,9 @@
+"""Line dedup against edit similarity of all pairs of lines, by plain Python that knows neither sketches nor anchors."""
+
 import random
 import re
 
-import xxhash
+from pyspark.sql import functions as F
 
 from loomwalk.llm import line_dedup as L
 
@@ -12,50 +14,57 @@ VOCAB = ["".join(RNG.choice("abcdefghijklmnopé") for _ in range(RNG.randint(2,
 
 
 def lines_of(text):
-    return re.findall(r"[^\n]{1,500}\n?|\n", text or "")
-
-
-def words_of(line):
-    return re.findall(r"[a-z0-9\u0080-\U0010ffff]+", line.lower())
-
+    return re.findall(r"[^\n]+\n?|\n", text or "")
 
-def signed(x):
-    return x - (1 << 64) if x >> 63 else x
 
-
-def simhash(words):
-    keys = sorted(signed(xxhash.xxh64_intdigest(w, seed=42) >> len(w.encode()) % 64) for w in words)
-    keys = sorted(set(keys))[: L.FEATURES]
-    hashes = [xxhash.xxh64_intdigest((k % (1 << 64)).to_bytes(8, "little"), seed=42) for k in keys]
-    return sum(1 << j for j in range(63) if 2 * sum(h >> j & 1 for h in hashes) > len(hashes))
+def normal(line):
+    return " ".join(re.findall(r"[^\W_]+", line.lower()))
 
 
 def distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
-
-
-def expected(rows):
-    """The same by all pairs of lines; rows that repeat an id are not for this."""
+    """Edit distance, by columns of bits."""
+    if not a or not b:
+        return max(len(a), len(b))
+    at = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, d = full, 0, len(a)
+    for y in b:
+        eq = at.get(y, 0)
+        diag = (((eq & up) + up) ^ up) | eq | down
+        right, left = down | ~(diag | up) & full, up & diag
+        d += bool(right & last) - bool(left & last)
+        right = right << 1 | 1
+        up, down = (left << 1 | ~(diag | right)) & full, right & diag & full
+    return d
+
+
+def alike(a, b):
+    """Edit similarity of 0.8 in characters, and three fifths of the words in common."""
+    n = max(len(a), len(b))
+    if abs(len(a) - len(b)) * 5 > n:
+        return False
+    x, y = set(a.split(" ")), set(b.split(" "))
+    return len(x & y) * 5 >= 3 * max(len(x), len(y)) and distance(a, b) * 5 <= n
+
+
+def expected(rows, linked=alike):
+    """The texts that are left, by comparing all pairs of lines; rows that repeat an id are not for this."""
     places = {}
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         for p, line in enumerate(lines_of(t)):
-            w = tuple(words_of(line))
-            if len(w) >= L.MIN_WORDS:
+            if w := normal(line):
                 places.setdefault(w, []).append((i, p))
-    classes = list(places)
-    h = [simhash(w) for w in classes]
+    classes = sorted(places, key=len)
+    long_enough = [k for k, c in enumerate(classes) if len(set(c.split(" "))) > 3]
     links = []
-    for a in range(len(classes)):
-        for b in range(a):
-            if (h[a] ^ h[b]).bit_count() <= L.MAX_BITS:
-                n = max(len(classes[a]), len(classes[b]))
-                if (n - distance(classes[a], classes[b])) * 100 >= n * L.SIMILARITY:
-                    links.append((a, b))
+    for n, a in enumerate(long_enough):
+        for b in long_enough[n + 1 :]:
+            if len(classes[a]) < 0.8 * len(classes[b]):
+                break
+            if linked(classes[a], classes[b]):
+                links.append((a, b))
     groups = {}
     for k, c in components(links, range(len(classes))).items():
         groups.setdefault(c, []).extend(places[classes[k]])
@@ -88,6 +97,17 @@ def table():
     return rows
 
 
+def test_distance():
+    for _ in range(200):
+        a, b = ("".join(RNG.choice("abc") for _ in range(RNG.randint(0, 9))) for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        assert distance(a, b) == row[-1]
+
+
 def test_against_all_pairs(spark):
     rows = table()
     want = expected(rows)
@@ -98,16 +118,50 @@ def test_against_all_pairs(spark):
         assert out[i].n_lines == len(lines_of(t)) and out[i].n_dropped == len(lines_of(t)) - len(lines_of(want[i]))
 
 
-def test_near_lines_are_linked():
-    """An edit of a word that is no feature keeps the SimHash."""
-    w = [*(f"longestword{i}" for i in range(7)), *"abcdefghijklmnopqrstuvw"]
-    assert simhash(w) == simhash([*w[:-1], "zz"])
+def test_two_changed_words_never_hide_a_line(spark):
+    """Blocks: whichever two words of a line are replaced, deleted or preceded by another one, three of five agree."""
+    rows, pairs = [], []
+    for k in range(300):
+        w = sentence(RNG.randint(5, 60)).split(" ")
+        v = list(w)
+        for _ in range(2):
+            i = RNG.randrange(len(v))
+            v[i : i + 1] = RNG.choice([["q"], ["q", v[i]], []])
+        rows.append((k, " ".join(w), " ".join(v)))
+        pairs.append((w, v))
+    df = spark.createDataFrame(rows, "k long, a string, b string")
+    got = df.select("k", *[L.sketch(L.features_of(F.col(c))).alias(c) for c in "ab"]).collect()
+    for r in got:
+        w, v = pairs[r.k]
+        if len(set(w)) >= 7 and len(set(v)) >= 5:
+            assert len(set(r.a) & set(r.b)) >= L.AGREE
+
+
+def changed(line, how):
+    w = line.split(" ")
+    for _ in range(how.count("+") + 1):
+        i = RNG.randrange(len(w))
+        w[i] = RNG.choice(VOCAB) if how.startswith("word") else w[i] + RNG.choice("abc")
+    return " ".join(w)
 
 
-def test_simhash_of_few_and_many_features(spark):
-    rows = [(i, sentence(n)) for i, n in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 40])]
-    df = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", L.simhash(L.features_of(L.words_of("text"))).alias("h"))
-    assert {r.doc_id: r.h for r in df.collect()} == {i: simhash(words_of(t)) for i, t in rows}
+def test_recall(spark):
+    """Of pairs at an edit similarity of 0.8 or more, by characters alone: one or two words replaced, one or two letters added."""
+    rows, good, k = [], {}, 0
+    for how in ("word", "letter", "word+", "letter+"):
+        for low, high, least in ((5, 7, 0.95), (8, 12, 0.99), (13, 25, 0.99), (26, 60, 0.99)):
+            mine = good.setdefault((how, low, least), [])
+            for _ in range(2000):
+                a = sentence(RNG.randint(low, high))
+                b = changed(a, how)
+                if a != b and distance(a, b) * 5 <= max(len(a), len(b)) and len(mine) < 100:
+                    rows += [(2 * k, a), (2 * k + 1, b)]
+                    mine.append(2 * k + 1)
+                    k += 1
+    out = {r.doc_id: r.n_dropped for r in L.dedup_lines(documents(spark, rows)).collect()}
+    for (how, low, least), mine in good.items():
+        assert len(mine) >= 50 and sum(out[i] for i in mine) >= least * len(mine), (how, low)
+    assert not any(n for i, n in out.items() if i % 2 == 0)
 
 
 def test_one_very_common_line(spark):
@@ -133,6 +187,15 @@ def test_columns_repeated_ids_null_ids_empty_table(spark):
     assert L.dedup_lines(documents(spark, [])).count() == 0
 
 
+def test_rows_with_one_id_and_different_texts(spark):
+    rows = [(5, "another unique opening line\nthe end"), (5, "a line that all of them have\nthe middle"), (1, "a line that all of them have"), (5, "the end")]
+    got = sorted((r.doc_id, r.text) for r in L.dedup_lines(documents(spark, rows)).collect())
+    assert [t for i, t in got if i == 1] == [rows[2][1]]
+    assert sorted("".join(t for i, t in got if i == 5).split("\n")) == sorted(["another unique opening line", "the end", "the middle"]) or got.count((5, "")) == 1
+    assert any("another unique opening line" in t for i, t in got) and any("the middle" in t for i, t in got)
+    assert sum("a line that all of them have" in t for _, t in got) == 1 and sum("the end" in t for _, t in got) == 1
+
+
 def test_no_python_in_the_plan(spark):
     plan = L.report(documents(spark, table()))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

@@ -19,7 +19,7 @@ def sentence(n):
 
 
 def dropped(spark, rows):
-    return {r.doc_id: r.n_dropped for r in L.dedup_whole_lines(documents(spark, rows)).collect()}
+    return {r.doc_id: r.n_dropped for r in L.dedup_lines(documents(spark, rows)).collect()}
 
 
 @pytest.mark.parametrize("low, high, least", [(5, 7, 0.9), (8, 12, 0.95), (13, 40, 0.97)])
