@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, maybe_in
 
-#: Ranks of the members of a bucket that lead it, round by round: up to the 1st, the 32nd, the 256th, then eight times more each round.
-LEADERS = (1, 32, 256)
+#: Ranks of the members of a bucket that lead it, round by round: up to the 1st, the 3rd, the 9th, then three times more each round.  Few at a time, as most of a
+#: bucket of near copies is one component by then, and pairs inside it are not compared.
+LEADERS = (1, 3, 9)
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -88,7 +89,7 @@ def link_buckets(live: DataFrame, verify: Callable[[DataFrame], DataFrame], perc
         if finish is not None and low == 1:
             more = finish(live.where(F.col("c") > most).select("bucket", "node")).select("a", "b")
             live = live.where(F.col("c") <= most)
-        high = LEADERS[k] if k < len(LEADERS) else low * 8
+        high = LEADERS[k] if k < len(LEADERS) else low * 3
         rank = F.row_number().over(W.partitionBy("bucket").orderBy("node"))
         lead = live.select("bucket", "node", "size", "component", rank.alias("r")).where(F.col("r") <= high).where(F.col("r") > low)
         lead = lead.select("bucket", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("component").alias("ca"))

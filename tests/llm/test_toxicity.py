@@ -1,4 +1,6 @@
 import random
+import re
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -33,6 +35,12 @@ def corpus(n=900):
     return rows, labels
 
 
+@pytest.fixture(scope="module")
+def model():
+    rows, labels = corpus()
+    return toxicity.train([t for _, t in rows], [y for _, y in labels])
+
+
 def label_table(spark, labels):
     return spark.createDataFrame([(i, 0, y) for i, y in labels], "doc_id long, quality int, toxic int")
 
@@ -74,24 +82,115 @@ def test_edges(spark):
     assert toxicity.toxicity(documents(spark, []), none).count() == 0
 
 
-@pytest.mark.parametrize("word", ["pathetic", "pat hetic", "PATHETIC", "pathxetic", "p.a.t.h.e.t.i.c"])
-def test_kernel_tolerates_gaps_and_inserted_characters(word):
-    model = toxicity._with_landmarks(["pathetic"])
-    plain = np.frombuffer(word.lower().encode(), np.uint8)
-    _, value = model.words(toxicity.chars_of(plain, np.array([0, len(plain)])))
-    if word == "pat hetic":
-        assert not len(value) or value.max() < 0.9
-    else:
-        assert value.max() > 0.3
-
-
-def test_kernel_values_are_those_of_all_subsequences():
-    """Each subsequence of three characters counts once, with the decay of its tightest occurrence."""
-    for w in ("abc", "aabbcc", "pathetic", "aaaa"):
-        want = {}
-        for i in range(len(w)):
-            for j in range(i + 1, len(w)):
-                for k in range(j + 1, min(len(w), i + toxicity.SPAN)):
-                    key = sum((ord(w[x]) - 97) * 32**p for x, p in ((i, 2), (j, 1), (k, 0)))
-                    want[key] = max(want.get(key, 0), toxicity.DECAY ** (k - i + 1))
-        assert toxicity.features_of(w) == pytest.approx(want)
+def test_classes_that_no_word_tells_apart(spark):
+    """Nothing can be learnt, so nothing is rejected, whatever the share of toxic labels."""
+    rows = [(i, "the same words in all of them") for i in range(60)]
+    labels = label_table(spark, [(i, i % 2) for i in range(60)])
+    out = toxicity.toxicity(documents(spark, rows), labels).collect()
+    assert {r.predicted for r in out} == {0} and len({r.score for r in out}) == 1
+    assert toxicity.drop_toxic(documents(spark, rows), labels).count() == 60
+
+
+def test_repeated_ids_are_learnt_from_once(spark):
+    rows, labels = corpus(300)
+    more = rows + [(i, t + " and a longer text") for i, t in rows]
+    a, b = (toxicity.fit(documents(spark, x), label_table(spark, labels)) for x in (rows, more))
+    assert a.landmarks == b.landmarks and np.allclose(a.weight, b.weight)
+
+
+@pytest.mark.parametrize("word", ["pathetic", "PATHETIC", "pathxetic", "patheetic", "p.a.t.h.e.t.i.c", "p a t h e t i c", "p4thetic", "pat-hetic"])
+def test_spellings(model, word):
+    """An insult with letters put in, or spelt otherwise, is as toxic as it is; plain text is not."""
+    score = lambda t: float(model.score(*toxicity._bytes([t]))[0])
+    assert score(f"{sentence()}. the {word} garden. {sentence()}") > 0.5
+    assert score(f"{sentence()}. the silver garden. {sentence()}") < 0.5
+
+
+def clauses(text):
+    """By plain Python: the words of a text, less what is no letter, in clauses; single letters are one word."""
+    fold = str.maketrans("0123456789", "oizeasgtbg")
+    words, stop, before = [], True, ""
+    for raw in re.findall(r"\S+|\s+", text.lower()):
+        if raw.isspace():
+            before += raw
+            continue
+        w = "".join(x for x in raw.translate(fold) if "a" <= x <= "z")
+        lead = re.match(r"[^a-z0-9]*", raw)[0]
+        stop = stop or bool(re.search(r"[.!?\n]", before + lead))
+        if w:
+            if len(w) == 1 and words and words[-1][2]:
+                words[-1] = (words[-1][0] + w, words[-1][1], True)
+            else:
+                words.append((w, stop, len(w) == 1))
+            stop, before = False, ""
+        before = re.search(r"[^a-z0-9]*$", raw)[0]
+    out, n = [], 0
+    for w, first, _ in words:
+        if first or n == toxicity.CLAUSE:
+            out.append("")
+            n = 0
+        out[-1] += " " + w
+        n += 1
+    return out
+
+
+def test_clauses():
+    texts = ["You are s t u p i d, really. No! i.d.i.o.t", "", "a b c", "one two three four five. six", "?", "x1 yy", "p4thetic w0rd\nnext"]
+    for t in texts:
+        assert toxicity.clauses_of(*toxicity._bytes([t])).strings() == clauses(t), t
+    all_at_once = toxicity.clauses_of(*toxicity._bytes(texts))
+    assert all_at_once.strings() == [x for t in texts for x in clauses(t)]
+    assert all_at_once.text.tolist() == [i for i, t in enumerate(texts) for _ in clauses(t)]
+
+
+def plain_features(clause, rarity):
+    """All subsequences, by all choices of positions."""
+    letters = [toxicity._SPACE if x == " " else ord(x) - 97 for x in clause]
+    out = {}
+    for at in combinations(range(len(letters)), toxicity.ORDER):
+        if at[-1] - at[0] < toxicity.SPAN:
+            code = 0
+            for i in at:
+                code = code * 32 + letters[i]
+            out[code] = out.get(code, 0) + toxicity.DECAY ** (at[-1] - at[0] + 1)
+    out = {c: v * float(rarity[c]) for c, v in out.items()}
+    size = sum(v * v for v in out.values()) ** 0.5
+    return {c: v / size for c, v in out.items()} if size else {}
+
+
+TEXTS = ["the pathetic garden", "pathxetic and aaaaaaa", "window. scum", "silver silver", "an idiot i d i o t"]
+
+
+def test_kernel_map_and_score_by_brute_force(model):
+    c = toxicity.clauses_of(*toxicity._bytes(TEXTS))
+    plain = [plain_features(x, model.rarity) for x in c.strings()]
+    dot = lambda a, b: sum(v * b.get(k, 0.0) for k, v in a.items())
+    marks = toxicity.Landmarks.of(c, model.rarity)
+    k = np.array([[dot(a, b) for b in plain] for a in plain])
+    assert marks.kernel(c, model.rarity) == pytest.approx(k, abs=1e-5)
+    # The map: inner products of the mapped clauses are those of the kernel, in the space of the landmarks.
+    some = toxicity.Landmarks.of(c.pick(np.arange(3)), model.rarity)
+    x = some.kernel(c, model.rarity) @ some.root()
+    assert x @ x.T == pytest.approx(k[:, :3] @ np.linalg.inv(k[:3, :3]) @ k[:3], abs=1e-3)
+    # The machine: a weight per subsequence is the sum over landmarks of weight times kernel value.
+    w = np.array([0.5, -1.0, 2.0])
+    folded = some.weights(w)
+    assert [dot(a, {i: folded[i] for i in a}) for a in plain] == pytest.approx(k[:, :3] @ w, abs=1e-4)
+    # The score: the worst clause of a text, or an empty one.
+    values = np.array([dot(a, {i: model.weight[i] for i in a}) for a in plain])
+    want = [max([0.0, *values[c.text == i]]) + model.bias for i in range(len(TEXTS))]
+    assert model.decide(*toxicity._bytes(TEXTS)) == pytest.approx(want, abs=1e-4)
+    assert all(b >= v - 1e-4 for b, v in zip(model.bounds(c), values) if v > 0)
+
+
+def test_svm_is_at_its_minimum():
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(60, 4)), np.where(rng.random(60) < 0.3, 1.0, -1.0)
+    w, b = toxicity._svm(x, y, cost=5.0)
+
+    def loss(w, b):
+        share = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
+        return 0.5 * w @ w + 5e-7 * b * b + 5 * (share * np.maximum(0, 1 - y * (x @ w + b)) ** 2).sum()
+
+    best = loss(w, b)
+    assert all(loss(w + 0.01 * rng.normal(size=4), b + 0.01 * rng.normal()) > best for _ in range(50))
