@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, cut, maybe_in, utf8
+from .common import append_columns, cut, flag_in, maybe_in, utf8
 from .linkage import link_buckets, shared_buckets
 from .words import mix, shingle_set
 
@@ -143,22 +143,15 @@ def _linked_in_blocks(live: DataFrame, sets: DataFrame, percent: int) -> DataFra
     return dealt.groupBy("bucket", "lo", "hi").applyInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = 85, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: (doc_id, n_shingles, component_id, kept).
-
-    A-Z are lower-cased, words are runs without ASCII white space; a document's set is its distinct ``shingle``-word runs, or its whole
-    sequence if it has fewer words.  Documents are linked when 100 * intersection >= percent * union on full sets; ``component_id`` is
-    the smallest id reachable, ``kept`` whether that is the document's own.  A document without words (null, empty, only white space) has
-    no shingles and stays alone.  Rows that repeat an id share its component; a null id is never smaller than another one.
-    Other columns are ignored; an empty table gives no rows.
+def _grouped(docs: DataFrame, *, percent: int, shingle: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
+    """One row per input row: (doc_id, mark, n, node, component_id, leader).
 
-    Documents with equal sets are one class (a 128-bit digest of the set).  Class representatives go into band buckets; buckets become
-    groups by :func:`~.linkage.link_buckets`.  Texts are read twice and never shuffled: what moves are digests, band keys, and the shingle sets of
-    representatives that share a bucket with another one.
-    """
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    ``mark`` is a hash of the text, ``node`` a digest of the shingle set, null without shingles; ``component_id`` is the smallest id of the set's component and
+    ``leader`` the least set that has it."""
+    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     fields = [("n", T.LongType()), ("node", T.BinaryType()), ("bands", T.ArrayType(T.LongType(), False))]
-    profile = cut(append_columns(src, "text", fields, _profile(bands, rows, shingle), keep=["doc_id"]), "minhash-profile")
+    marked = src.withColumn("mark", F.xxhash64("text"))
+    profile = cut(append_columns(marked, "text", fields, _profile(bands, rows, shingle), keep=["doc_id", "mark"]), "minhash-profile")
     # array<long> is not orderable by hash aggregation but first() of equal values is: equal sets have equal bands.
     classes = cut(profile.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "minhash-classes")
     buckets = classes.select("node", F.col("n").alias("size"), F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node", "size")
@@ -181,16 +174,40 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, shingle: int = SHINGL
 
     _, comp = link_buckets(buckets, verify, percent, finish)
     named = classes.select("node", "rep").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "component").select("node", "component_id")
+    least = named.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("l"))
+    named = named.join(least, "component").select("node", F.col("l.rep").alias("component_id"), F.col("l.node").alias("leader"))
     # A common class is a common join key: only its id travels, and skewed keys are split at run time.
-    out = profile.select("doc_id", "n", "node").join(named, "node", "left")
+    return profile.select("doc_id", "mark", "n", "node").join(named, "node", "left")
+
+
+def near_duplicates(docs: DataFrame, *, percent: int = 85, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: (doc_id, n_shingles, component_id, kept).
+
+    A-Z are lower-cased, words are runs without ASCII white space; a document's set is its distinct ``shingle``-word runs, or its whole
+    sequence if it has fewer words.  Documents are linked when 100 * intersection >= percent * union on full sets, of 64-bit hashes of the runs; ``component_id`` is
+    the smallest id reachable, ``kept`` whether that is the document's own.  A document without words (null, empty, only white space) has
+    no shingles and stays alone.  Rows that repeat an id are documents of their own, so an id may come with several components; a null id is
+    never smaller than another one; other ids are whole numbers.  Other columns are ignored; an empty table gives no rows.
+
+    Documents with equal sets are one class (a 128-bit digest of the set).  Class representatives go into band buckets; buckets become
+    groups by :func:`~.linkage.link_buckets`.  Texts are read twice and never shuffled: what moves are digests, band keys, and the shingle sets of
+    representatives that share a bucket with another one.
+    """
+    out = _grouped(docs, percent=percent, shingle=shingle, bands=bands, rows=rows, id_col=id_col, text_col=text_col)
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, *, text_col: str = "text", **how) -> DataFrame:
-    """``docs`` without the documents whose component is led by another one; the columns are those of ``docs``."""
-    gone = near_duplicates(docs, text_col=text_col, **how).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).dropDuplicates()
-    id_col = how.get("id_col", "doc_id")
-    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__gone")), "left_anti")
+def drop_near_duplicates(docs: DataFrame, *, percent: int = 85, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without near duplicates: of each component the smallest id stays, of rows with that id those of one shingle set; documents without words stay.
+
+    Rows that repeat an id are told apart by a hash of their text; rows equal in both share their fate.  The columns are those of
+    ``docs``, whatever their names.  Texts of documents that may go move once."""
+    out = _grouped(docs, percent=percent, shingle=shingle, bands=bands, rows=rows, id_col=id_col, text_col=text_col)
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("node") == F.col("leader"))
+    gone = cut(out.where("n > 0").where(~stays).select(F.col("doc_id").alias("__gone"), F.col("mark").alias("__gone_mark")).dropDuplicates(), "minhash-gone")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{id_col}`").cast("long").alias("__id"), F.xxhash64(F.col(f"`{text_col}`")).alias("__mark"))
+    flagged = flag_in(packed, F.xxhash64("__id", "__mark"), gone, F.xxhash64("__gone", "__gone_mark"))
+    same = F.col("__id").eqNullSafe(F.col("__gone")) & (F.col("__mark") == F.col("__gone_mark"))
+    left = flagged.where("__maybe").join(gone, same, "left_anti").select("__row.*")
+    return flagged.where("not __maybe").select("__row.*").unionByName(left)

@@ -71,3 +71,13 @@ def test_signature_is_circulant():
     p = minhash._permutation(k)
     at = (words.mix(h ^ np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - minhash._DOMAIN_BITS)).astype(int)
     assert minhash.signature(h, k).tolist() == [min(p[a + j] for a in at) for j in range(k)]
+
+
+def test_rows_with_one_id_and_different_texts(spark):
+    """No text is lost for sharing its id with a copy, and inner names may be names of columns."""
+    a, b = "a text of several words that comes more than once", "another text that comes once only in this table"
+    rows = [(1, a), (5, a), (5, b), (7, b), (5, ""), (None, a), (5, b)]
+    docs = documents(spark, rows).selectExpr("*", "1 as __gone", "2 as __row", "3 as __id")
+    out = minhash.drop_near_duplicates(docs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(1, a), (5, ""), (5, b), (5, b)]
