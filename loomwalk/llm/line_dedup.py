@@ -19,6 +19,10 @@ from .linkage import link_buckets, shared_buckets
 
 #: Blocks of a line, and how many of them candidates have in common.
 SKETCH, AGREE = 5, 3
+#: Candidates also have so many in common of a larger sketch, or the same share of a smaller one.
+LARGE, SHARED = 16, 9
+#: Lines of a bucket that one row holds, when a bucket of more than MOST lines is searched for the links that its first line has not made.
+BLOCK, MOST = 64, 9
 #: Least edit similarity of linked lines, in percent.
 SIMILARITY = 80
 #: Edit similarity counts characters, and words where a line has more characters than this.
@@ -57,10 +61,10 @@ def features_of(norm: Column) -> Column:
     return F.when(_dense(norm), F.regexp_extract_all(norm, F.lit(r"(?=(\S\S))"), F.lit(1))).otherwise(F.split(norm, " "))
 
 
-def sketch(features: Column) -> Column:
-    """The blocks of a line: the least hashes of its features, each halved for every byte, so that long words, which are mostly rare, come first."""
+def sketch(features: Column, size: int = SKETCH) -> Column:
+    """The blocks of a line: the ``size`` least hashes of its features, each halved for every byte, so that long words, which are mostly rare, come first."""
     rank = lambda w: F.call_function("shiftrightunsigned", F.xxhash64(w), F.octet_length(w))
-    return F.slice(F.sort_array(F.array_distinct(F.transform(features, rank))), 1, SKETCH)
+    return F.slice(F.sort_array(F.array_distinct(F.transform(features, rank))), 1, size)
 
 
 def _keys(blocks: list[Column]) -> Column:
@@ -180,23 +184,48 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     found = _once(_lines(src), _PLACE, normal_line(F.col("line")), "norm").where("norm <> ''")
     found = _once(found, [*_PLACE, "norm"], sketch(features_of(F.col("norm"))), "sketch")
     blocks = [f"s{i}" for i in range(SKETCH)]
-    rows = cut(found.select(*_PLACE, node.alias("node"), F.length("norm").alias("size"), *[F.get("sketch", F.lit(i)).alias(b) for i, b in enumerate(blocks)]), "line-rows")
+    rows = cut(found.select(*_PLACE, node.alias("node"), *[F.get("sketch", F.lit(i)).alias(b) for i, b in enumerate(blocks)]), "line-rows")
     place = F.xxhash64(*_PLACE)
-    classes = rows.groupBy("node").agg(*[F.min(b).alias(b) for b in blocks], F.min("size").alias("size"), F.count(F.lit(1)).alias("n"), F.min(place).alias("home"))
+    classes = rows.groupBy("node").agg(*[F.min(b).alias(b) for b in blocks], F.count(F.lit(1)).alias("n"), F.min(place).alias("home"))
     classes = cut(classes, "line-classes")
-    buckets = shared_buckets(classes.select("node", "size", F.explode(_keys([F.col(b) for b in blocks])).alias("bucket")), "line-buckets")
+    buckets = shared_buckets(classes.select("node", F.explode(_keys([F.col(b) for b in blocks])).alias("bucket")), "line-buckets")
     wanted = cut(buckets.select("node").dropDuplicates().join(classes, "node").select("node", "home"), "line-wanted")
     again = maybe_in(_lines(src).withColumn("home", place), F.col("home"), wanted, F.col("home"))
     again = _once(again, ["home"], normal_line(F.col("line")), "norm").select("home", "norm", node.alias("node"))
     chars = F.length("norm")
     texts = again.join(wanted, ["node", "home"]).dropDuplicates(["node"])
-    texts = cut(texts.select("node", F.when(chars <= WORDWISE, F.col("norm")).alias("line"), F.when(chars > WORDWISE * SIMILARITY // 100 - 1, _code(_pieces(F.col("norm")))).alias("code")), "line-texts")
+    about = F.struct(chars.alias("size"), sketch(features_of(F.col("norm")), LARGE).alias("blocks"))
+    texts = cut(texts.select("node", about.alias("about"), F.when(chars <= WORDWISE, F.col("norm")).alias("line"), F.when(chars > WORDWISE * SIMILARITY // 100 - 1, _code(_pieces(F.col("norm")))).alias("code")), "line-texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         side = lambda x: texts.select(F.col("node").alias(x), F.col("line").alias(f"t{x}"), F.col("code").alias(f"c{x}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").where(similar(*[F.col(c) for c in ("ta", "tb", "ca", "cb")])).select("a", "b")
 
-    _, comp = link_buckets(buckets, verify, SIMILARITY)
+    def alike(x: Column, y: Column) -> Column:
+        size = F.least(x["size"], y["size"]) * 100 >= F.greatest(x["size"], y["size"]) * SIMILARITY
+        return size & (F.size(F.array_intersect(x["blocks"], y["blocks"])) * LARGE >= F.greatest(F.size(x["blocks"]), F.size(y["blocks"])) * SHARED)
+
+    def finish(live: DataFrame) -> DataFrame:
+        """Each line outside the largest component of its bucket against all lines of other components, in blocks: a row for a line and a block, none for a pair.
+        Two lines are compared in one bucket only, that of their first common blocks."""
+        fields = ["node", "component", "about", "line", "code"]
+        whole = live.join(texts.select("node", "line", "code"), "node").select("bucket", "c", F.struct(*fields).alias("x"))
+        main = live.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("m")).select("bucket", F.col("m.component").alias("main"))
+        part = F.pmod(F.xxhash64("x.node"), F.ceil(F.col("c") / BLOCK))
+        blocks = whole.groupBy("bucket", part.alias("part")).agg(F.collect_list("x").alias("ys"))
+        x = F.col("x")
+
+        def linked(y: Column) -> Column:
+            first = F.array_intersect(F.slice(x["about"]["blocks"], 1, SKETCH), F.slice(y["about"]["blocks"], 1, SKETCH))
+            here = F.xxhash64(*[F.get(first, F.lit(i)) for i in range(AGREE)]) == F.col("bucket")
+            new = (y["component"] != x["component"]) & ((y["component"] == F.col("main")) | (x["node"] < y["node"]))
+            return new & alike(x["about"], y["about"]) & here & similar(x["line"], y["line"], x["code"], y["code"])
+
+        probes = whole.join(main, "bucket").where(F.col("x.component") != F.col("main")).drop("c").join(blocks, "bucket")
+        return probes.select(F.col("x.node").alias("a"), F.explode(F.transform(F.filter("ys", linked), lambda y: y["node"])).alias("b"))
+
+    live = cut(buckets.join(texts.select("node", "about"), "node"), "line-live")
+    _, comp = link_buckets(live, alike, verify, finish, MOST)
     return _drop_lists(rows, classes, comp)
 
 
@@ -205,7 +234,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     A line is a run up to a line end, whatever its length.  Lines are compared by their lower-cased words, between which stands one space.  Equal
     lines are always linked, however short; lines without a word always stay.  Other lines are candidates if they share AGREE of their SKETCH
-    blocks (so they have three different words at least), and linked if their lengths differ by a fifth at most and their edit similarity
+    blocks (so they have three different words at least) and about as many of the LARGE first ones, and linked if their lengths differ by a fifth at most and their edit similarity
     is at least 0.8: in characters, with words that both lines have once, in the same order, kept in place, or in words where a line has more than WORDWISE
     characters.  Lines with three fifths of their words in common are compared, and those that differ word for word.  In scripts without spaces each pair of characters counts as a word of the sketch.
     Of each connected group the occurrence with the smallest (id, hash of the text, line number) stays; all others go, also within one document.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -53,31 +53,32 @@ def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def shared_buckets(buckets: DataFrame, name: str = "buckets") -> DataFrame:
-    """Of distinct rows (bucket: a long, node, size), those whose bucket has several nodes, with c: how many; written out.
+    """Of distinct rows (bucket: a long, node), those whose bucket has several nodes, with c: how many; written out.
 
     Buckets are counted without the nodes; a bitmap of the shared ones then keeps most other rows from being shuffled."""
     shared = cut(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), f"{name}-shared")
-    return cut(maybe_in(buckets, F.col("bucket"), shared, F.col("bucket")).join(shared, "bucket").select("bucket", "node", "size", "c"), name)
+    return cut(maybe_in(buckets, F.col("bucket"), shared, F.col("bucket")).join(shared, "bucket").select("bucket", "node", "c"), name)
 
 
-def link_buckets(live: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, finish: Callable[[DataFrame], DataFrame] | None = None, most: int = 32) -> tuple[DataFrame, DataFrame]:
-    """(links, components) of the nodes that share a bucket, whose smaller size is ``percent`` of the larger at least, and that pass ``verify``.
+def link_buckets(live: DataFrame, alike: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame], finish: Callable[[DataFrame], DataFrame] | None = None, most: int = 32) -> tuple[DataFrame, DataFrame]:
+    """(links, components) of the nodes that share a bucket and pass ``alike`` and ``verify``.
 
-    ``live``: what :func:`shared_buckets` makes of distinct rows (bucket, node, size).  ``verify`` takes candidate pairs (a, b) and returns those that are linked.
-    In the first round the smallest node of each bucket leads it and is compared with the other members.  A bucket whose members
-    then lie in one component is done: further links inside it would change nothing.  In what is left, the next members lead, and are
-    compared with the later members of other components, until no bucket is left or all members have led.  So no link
+    ``live``: what :func:`shared_buckets` makes, with a column ``about`` of a few bytes for each node.  ``alike`` tells from two of these whether
+    the nodes may be linked; it is a condition of the join, so pairs that fail it are no rows.  ``verify`` takes candidate pairs (a, b) and returns those that are linked.
+    The smallest node of each bucket leads it.  At first each node is compared with the smallest of its leaders; then, round by round, leaders with the members of
+    other components.  A bucket whose members lie in one component is done: further links inside it would change nothing.  In what is left, the next members lead, and are
+    compared with the later members, until no bucket is left or all members have led.  So no link
     that would join two components is lost, a bucket of near copies costs one pair per member, and nothing is capped.
 
-    ``finish`` may take over the unfinished buckets of more than ``most`` members after the first round, as rows (bucket, node); it
+    ``finish`` may take over the unfinished buckets of more than ``most`` members after the first round, as rows (bucket, node, about, component, c); it
     returns links (a, b) that connect what is linked inside each bucket, without a row per pair.
     """
-    alike = F.lit(100) * F.least("size", "sa") >= F.lit(percent) * F.greatest("size", "sa")
-    lead = live.groupBy("bucket").agg(F.min(F.struct("node", "size")).alias("l")).select("bucket", F.col("l.node").alias("a"), F.col("l.size").alias("sa"))
-    pairs = live.join(lead, "bucket").where("node <> a").where(alike).select("a", F.col("node").alias("b")).dropDuplicates()
+    may = alike(F.col("about"), F.col("about_a"))
+    lead = live.groupBy("bucket").agg(F.min(F.struct("node", "about")).alias("l")).select("bucket", F.col("l.node").alias("a"), F.col("l.about").alias("about_a"))
+    pairs = live.join(lead, "bucket").where("node <> a").where(may).groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a"))
     links = cut(verify(pairs).select("a", "b"), "links")
     comp = cut(components(links), "components")
-    low, k = 1, 1
+    low, high, k = 0, 1, 0
     while True:
         tagged = live.where(F.col("c") > low).join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
         h = F.xxhash64("component")
@@ -87,15 +88,15 @@ def link_buckets(live: DataFrame, verify: Callable[[DataFrame], DataFrame], perc
             return links, comp
         more = None
         if finish is not None and low == 1:
-            more = finish(live.where(F.col("c") > most).select("bucket", "node")).select("a", "b")
+            more = finish(live.where(F.col("c") > most)).select("a", "b")
             live = live.where(F.col("c") <= most)
-        high = LEADERS[k] if k < len(LEADERS) else low * 3
         rank = F.row_number().over(W.partitionBy("bucket").orderBy("node"))
-        lead = live.select("bucket", "node", "size", "component", rank.alias("r")).where(F.col("r") <= high).where(F.col("r") > low)
-        lead = lead.select("bucket", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("component").alias("ca"))
-        pairs = lead.join(live, "bucket").where("node > a and ca <> component").where(alike).select("a", F.col("node").alias("b")).dropDuplicates()
+        lead = live.select("bucket", "node", "about", "component", rank.alias("r")).where(F.col("r") <= high).where(F.col("r") > low)
+        lead = lead.select("bucket", F.col("node").alias("a"), F.col("about").alias("about_a"), F.col("component").alias("ca"))
+        pairs = lead.join(live, "bucket").where("node > a and ca <> component").where(may).select("a", F.col("node").alias("b")).dropDuplicates()
         found = verify(pairs).select("a", "b")
         new = cut(found if more is None else found.unionByName(more), "links")
-        live, low, k = live.select("bucket", "node", "size", "c"), high, k + 1
+        live, k = live.select("bucket", "node", "about", "c"), k + 1
+        low, high = high, LEADERS[k] if k < len(LEADERS) else high * 3
         if not new.isEmpty():
             links, comp = links.unionByName(new), joined(comp, new)

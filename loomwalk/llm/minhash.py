@@ -154,7 +154,7 @@ def _grouped(docs: DataFrame, *, percent: int, shingle: int, bands: int, rows: i
     profile = cut(append_columns(marked, "text", fields, _profile(bands, rows, shingle), keep=["doc_id", "mark"]), "minhash-profile")
     # array<long> is not orderable by hash aggregation but first() of equal values is: equal sets have equal bands.
     classes = cut(profile.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "minhash-classes")
-    buckets = classes.select("node", F.col("n").alias("size"), F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node", "size")
+    buckets = classes.select("node", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node")
     buckets = shared_buckets(buckets, "minhash-buckets")
     wanted = buckets.select("node").dropDuplicates().join(classes.select("node", "rep", "n"), "node")
     wanted = cut(wanted.withColumn("rep", F.coalesce("rep", F.lit(-1))), "minhash-wanted")
@@ -172,7 +172,8 @@ def _grouped(docs: DataFrame, *, percent: int, shingle: int, bands: int, rows: i
     def finish(live: DataFrame) -> DataFrame:
         return _linked_in_blocks(live, sets, percent)
 
-    _, comp = link_buckets(buckets, verify, percent, finish)
+    live = cut(buckets.join(wanted.select("node", F.col("n").alias("about")), "node"), "minhash-live")
+    _, comp = link_buckets(live, lambda x, y: F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y), verify, finish)
     named = classes.select("node", "rep").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("l"))
     named = named.join(least, "component").select("node", F.col("l.rep").alias("component_id"), F.col("l.node").alias("leader"))
