@@ -22,7 +22,7 @@ SKETCH, AGREE = 5, 3
 #: Candidates also have so many in common of a larger sketch, or the same share of a smaller one.
 LARGE, SHARED = 16, 9
 #: Lines of a bucket that one row holds, when a bucket of more than MOST lines is searched for the links that its first line has not made.
-BLOCK, MOST = 64, 9
+BLOCK, MOST = 256, 9
 #: Least edit similarity of linked lines, in percent.
 SIMILARITY = 80
 #: Edit similarity counts characters, and words where a line has more characters than this.
@@ -211,7 +211,8 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         fields = ["node", "component", "about", "line", "code"]
         whole = live.join(texts.select("node", "line", "code"), "node").select("bucket", "c", F.struct(*fields).alias("x"))
         main = live.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("m")).select("bucket", F.col("m.component").alias("main"))
-        part = F.pmod(F.xxhash64("x.node"), F.ceil(F.col("c") / BLOCK))
+        parts = F.ceil(F.col("c") / BLOCK)
+        part = F.pmod(F.xxhash64("x.node"), parts)
         blocks = whole.groupBy("bucket", part.alias("part")).agg(F.collect_list("x").alias("ys"))
         x = F.col("x")
 
@@ -221,7 +222,8 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             new = (y["component"] != x["component"]) & ((y["component"] == F.col("main")) | (x["node"] < y["node"]))
             return new & alike(x["about"], y["about"]) & here & similar(x["line"], y["line"], x["code"], y["code"])
 
-        probes = whole.join(main, "bucket").where(F.col("x.component") != F.col("main")).drop("c").join(blocks, "bucket")
+        probes = whole.join(main, "bucket").where(F.col("x.component") != F.col("main")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("c")
+        probes = probes.join(blocks, ["bucket", "part"])  # dealt by blocks, so that a crowded bucket is many keys
         return probes.select(F.col("x.node").alias("a"), F.explode(F.transform(F.filter("ys", linked), lambda y: y["node"])).alias("b"))
 
     live = cut(buckets.join(texts.select("node", "about"), "node"), "line-live")
