@@ -22,6 +22,8 @@ SEQUENCE = 1024
 #: Sequences in one record batch.
 BATCH = 256
 END_ID = 1
+#: Documents of a file, about: its index is held while it is written.
+FILE_DOCUMENTS = 1_000_000
 
 
 #: Words of lower-case Latin letters, and perhaps one mark after them: the splitter makes one piece of the letters and one of the mark.
@@ -33,15 +35,17 @@ class WordEncoder:
 
     The vocabulary's normaliser lower-cases, and neither it nor the splitter joins characters across ASCII white space, so a text's ids are
     those of its lower-cased words.  Plain words that the memo lacks skip the splitter; other words are encoded
-    together, with a separator word of one token between them.
+    together, with a separator word of one token between them.  Texts with a special token, in any case of letters, go to the library whole.
     """
 
     def __init__(self, vocabulary: str, most: int = 300_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
+        self.whole = Tokenizer.from_file(vocabulary)
+        self.special = [t.content.lower().encode() for t in self.whole.get_added_tokens_decoder().values()]
         self.tok = Tokenizer.from_file(vocabulary)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = True  # what it gets has none, or had them in other letters
         self.memo: dict[bytes, bytes] = {}
         self.last: dict[bytes, bytes] = {}
         self.most = most
@@ -115,6 +119,11 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, and the end id, as bytes of ``dtype``."""
+        special = [i for i, t in enumerate(texts) if any(x in t.lower() for x in self.special)]
+        if special:
+            rest = iter(self.encode([t for i, t in enumerate(texts) if i not in set(special)]))
+            mine = {i: np.array(self.whole.encode(texts[i].decode(), add_special_tokens=False).ids, self.dtype).tobytes() + self.end for i in special}
+            return [mine[i] if i in mine else next(rest) for i in range(len(texts))]
         words = [t.lower().split() for t in texts]
         every = set().union(*words)
         new = [w for w in every if w not in self.memo]
@@ -147,10 +156,22 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Schemes of Hadoop's clients and the ones that Arrow knows for the same stores.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfs": "abfss", "dbfs": "file"}
+
+
 def _filesystem(uri: str):
+    """(file system, path) of a place in the shared folder; ``dbfs:/`` is the mount that workers see as /dbfs."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    scheme, mark, rest = uri.partition(":")
+    if not mark or "/" in scheme:
+        scheme, rest = "file", f"//{uri}"
+    if scheme == "dbfs":
+        rest = "/dbfs/" + rest.lstrip("/")
+    if scheme in ("file", "dbfs"):
+        rest = "//" + rest if not rest.startswith("//") else rest
+    return fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}:{rest}")
 
 
 class SequenceWriter:
@@ -263,7 +284,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, *, vocabulary: s
     spark = docs.sparkSession
     vocabulary = vocabulary or default_vocabulary()
     path = path or fresh_path(spark, "token-files")
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // FILE_DOCUMENTS))
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     bounds = src.agg(F.percentile_approx("doc_id", [i / files for i in range(1, files)] or [0.5], 10_000).alias("b")).first().b if files > 1 else []
     bounds = np.array(sorted(set(bounds or [])), np.int64)

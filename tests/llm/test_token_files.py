@@ -10,7 +10,6 @@ from loomwalk.llm import token_files as T
 from .helpers import documents
 
 LIBRARY = Tokenizer.from_file(T.default_vocabulary())
-LIBRARY.encode_special_tokens = True
 TEXTS = [None, "", " \n", "Hello, world", "don't stop's 123,456 <|endoftext|> x~y", "É È ÉTÉ ñandú. ÿ! ß? İstanbul Ω≈ç√ éá.", "a.b .x x.. word;; \x1c a\x1fb  z", "北京 😀 ok", "~ a ~", "the " * 4000, "x" * 5000, "queaux, queaux. queaux"]
 
 
@@ -57,3 +56,16 @@ def test_repeated_and_null_ids_and_empty_table(spark):
     assert sorted((r.doc_id is not None, r.doc_id or 0) for r in out) == [(False, 0), (True, 1), (True, 5), (True, 5)]
     assert sorted(r.start for r in out)[0] == 0 and [r.start for r in out if r.doc_id is None] == [0]
     assert T.read_token_files(spark, T.write_token_files(documents(spark, []))).count() == 0
+
+
+def test_special_tokens_are_those_of_the_library():
+    texts = ["hello <|startoftext|> x", "a<|endoftext|>b", "<|STARTOFTEXT|> A", "plain words", "", "<|startoftext|", "ends <|endoftext|>"]
+    enc = T.WordEncoder(T.default_vocabulary())
+    got = [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode([t.encode() for t in texts])]
+    assert got == [[*LIBRARY.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
+def test_places():
+    for uri in ("/tmp/x/y", "file:/tmp/x/y", "file:///tmp/x/y"):
+        assert T._filesystem(uri)[1] == "/tmp/x/y"
+    assert T._filesystem("dbfs:/x/y")[1] == "/dbfs/x/y"
