@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, maybe_in
 
 
 def collapse_and_render(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -34,9 +34,11 @@ def collapse_and_render(turns: DataFrame, *, conv_col: str = "conv_id", turn_col
     rolling = cut(rolling, "chat-prefixes")
     full = rolling.where("pos = n").groupBy("n", "p1", "p2").agg(F.min("conv").alias("keep"), F.count(F.lit(1)).alias("copies"))
     prefixes = rolling.where("pos < n").groupBy("pos", "p1", "p2").agg(F.lit(1).alias("one")).select(F.col("pos").alias("n"), "p1", "p2")
-    maximal = full.join(prefixes, ["n", "p1", "p2"], "left_anti").select("keep", "n", "copies")
+    # A struct is never null, so that equal keys meet in one place, those of the null conversation among them.
+    maximal = cut(full.join(prefixes, ["n", "p1", "p2"], "left_anti").select(F.struct(F.col("keep").alias("conv")).alias("key"), "n", "copies"), "chat-maximal")
     turn = F.struct(F.col("turn"), F.col("role"), F.col("d"), F.coalesce("text", F.lit("")).alias("text"))
-    kept = digest.join(maximal, F.col("conv").eqNullSafe(F.col("keep")))
-    body = kept.groupBy("conv", "n", "copies").agg(F.array_sort(F.collect_set(turn)).alias("ts"))
+    keyed = digest.withColumn("key", F.struct("conv"))
+    kept = maybe_in(keyed, F.xxhash64("conv"), maximal, F.xxhash64("key.conv")).join(maximal, "key")
+    body = kept.groupBy("key").agg(F.first("n").alias("n"), F.first("copies").alias("copies"), F.array_sort(F.collect_set(turn)).alias("ts"))
     line = lambda x: F.concat(F.lit("<|"), F.coalesce(x["role"], F.lit("")), F.lit("|>\n"), x["text"], F.lit("<|end|>\n"))
-    return body.select(F.col("conv").alias("conv_id"), F.col("n").cast("long").alias("n_turns"), F.col("copies").cast("long").alias("n_copies"), F.array_join(F.transform("ts", line), "").alias("rendered"))
+    return body.select(F.col("key.conv").alias("conv_id"), F.col("n").cast("long").alias("n_turns"), F.col("copies").cast("long").alias("n_copies"), F.array_join(F.transform("ts", line), "").alias("rendered"))
