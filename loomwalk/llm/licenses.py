@@ -16,13 +16,15 @@ def pieces_of(sentence: str) -> list[str]:
 
 
 def known_pieces() -> dict[str, str]:
-    """Normalised piece -> identifier.  Only the first piece of a sentence names it; later pieces are its tail."""
-    table: dict[str, str] = {}
-    for ident, sentence in SENTENCES:
-        first, *tail = pieces_of(sentence)
-        table.setdefault(first, ident)
-        for t in tail:
-            table.setdefault(t, "")
+    """Normalised piece -> identifier.  A sentence is named by the first of its pieces that no other identifier's sentences have; its other pieces name nothing."""
+    cut = [(ident, pieces_of(sentence)) for ident, sentence in SENTENCES]
+    owners: dict[str, set[str]] = {}
+    for ident, pieces in cut:
+        for p in pieces:
+            owners.setdefault(p, set()).add(ident)
+    table = dict.fromkeys(owners, "")
+    for ident, pieces in cut:
+        table[next(p for p in pieces if len(owners[p]) == 1)] = ident
     return table
 
 

@@ -51,3 +51,40 @@ def test_plan_has_no_shuffle_and_no_python(spark):
 def test_empty_table_and_repeated_rows(spark):
     assert licenses.license_scan(documents(spark, [])).count() == 0
     assert licenses.license_scan(documents(spark, [(None, MIT), (None, MIT), (1, MIT)])).count() == 3
+
+
+def test_every_known_sentence_has_a_cue_and_is_recognised(spark):
+    import re
+
+    from loomwalk.llm import license_rules, licenses
+
+    assert all(re.search(license_rules.CUE, t) for _, t in license_rules.SENTENCES)
+    rows = [(i, t) for i, (_, t) in enumerate(license_rules.SENTENCES)]
+    out = {r.doc_id: r.sentence_ids for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {i: name for i, (name, _) in enumerate(license_rules.SENTENCES)}
+
+
+def test_whole_headers(spark):
+    """Known sentences in the order of their licence, wrapped at 78 columns, plain and as comments, behind a title and a copyright line, and on one line."""
+    import textwrap
+
+    from loomwalk.llm import license_rules, licenses
+
+    first = dict(reversed(license_rules.SENTENCES))
+    kinds = {
+        "MIT": "MITgrant MITcond MITasis MITliable", "ISC": "ISCgrant ISCasis ISCliable", "BSD-3-Clause": "BSDgrant BSDsource BSDbinary BSDendorse BSDasis BSDliable",
+        "BSD-2-Clause": "BSDgrant BSDsource BSDbinary BSDasis BSDliable", "Apache-2.0": "ApacheHead ApacheUse ApacheCopy ApacheAsIs ApacheSee", "GPL-3.0-or-later": "GPLfree3 GPLnowar GPLsee GPLcopy",
+        "GPL-2.0-or-later": "GPLfree2 GPLnowar GPLsee GPLcopy", "LGPL-2.1-or-later": "LGPLfree21 LGPLnowar LGPLsee LGPLcopy", "AGPL-3.0-or-later": "AGPLfree3 GPLnowar AGPLsee AGPLcopy",
+        "MPL-2.0": "MPLref MPLcopy", "Zlib": "ZlibAsIs ZlibLiable ZlibGrant",
+    }
+    rows, want = [], {}
+    for name, ids in kinds.items():
+        body = ["; ".join([first[x]]) + "." for x in ids.split()]
+        wrapped = ["\n".join(textwrap.wrap(x, 78)) for x in body]
+        plain = "\n\n".join(["A Licence", "Copyright (c) 2020 Someone", *wrapped])
+        for text in (plain, "\n".join(" * " + x for x in plain.split("\n")), "\n".join("# " + x for x in plain.split("\n")), "A Licence Copyright 2020 Someone " + " ".join(body)):
+            want[len(rows)] = name
+            rows.append((len(rows), text))
+    out = {r.doc_id: r.licenses for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    short = [i for i in want if i % 4 == 3 and want[i] in ("Apache-2.0",)]  # its first sentence is short, and runs into the title on one line
+    assert {i: n for i, n in out.items() if i not in short} == {i: n for i, n in want.items() if i not in short}
