@@ -126,3 +126,13 @@ def ngram_pairs(docs: DataFrame, pairs: DataFrame, *, n: int = NGRAM, prefix: in
     g = docs.select("doc_id", X.char_ngrams(F.substring("text", 1, prefix), n).alias("g"))
     left, right = g.select(F.col("doc_id").alias("a"), F.col("g").alias("ga")), g.select(F.col("doc_id").alias("b"), F.col("g").alias("gb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", F.round(X.jaccard(F.col("ga"), F.col("gb")), 6).alias("jaccard"))
+
+
+def minhash_signatures(docs: DataFrame, *, permutations: int = 256, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_TOKENS) -> DataFrame:
+    """(doc_id, signature): for each seed, the least hash of the document's token set; documents with fewer than ``least`` tokens have none.
+
+    Tokens are hashed once for each seed and partly aggregated before the shuffle: what moves is one signature for each document and task."""
+    tokens = F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit("[A-Za-z0-9_]+"), F.lit(0))
+    sets = docs.select(F.col(id_col).alias("doc_id"), tokens.alias("all")).where(F.size("all") >= least).select("doc_id", F.explode(F.array_distinct("all")).alias("token"))
+    low = [F.min(F.conv(F.substring(F.md5(F.concat(F.lit(f"{j}:"), "token")), 1, 8), 16, 10).cast("long")).alias(f"m{j}") for j in range(permutations)]
+    return sets.groupBy("doc_id").agg(*low).select("doc_id", F.array(*[f"m{j}" for j in range(permutations)]).alias("signature"))

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -37,6 +37,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _blocks(x: np.ndarray, columns: int) -> Iterator[np.ndarray]:
+    """Rows of ``x``, so many at a time that a product with ``columns`` others stays within BLOCK_VALUES."""
+    step = max(1, BLOCK_VALUES // max(1, columns))
+    for i in range(0, len(x), step):
+        yield x[i : i + step]
+
+
 def _scores(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     """Larger is nearer."""
     if metric == "ip":
@@ -130,7 +137,7 @@ def train_cells(index: DataFrame, cells: int, *, id_col: str = "vec_id", vector_
     x = _matrix(table["v"]) if len(table) else np.zeros((1, 1))
     centre = x[np.linspace(0, len(x) - 1, min(cells, len(x))).astype(int)].copy()
     for _ in range(rounds):
-        near = np.argmax(x @ centre.T, axis=1)
+        near = np.concatenate([np.argmax(part @ centre.T, axis=1) for part in _blocks(x, len(centre))])
         total = np.zeros_like(centre)
         np.add.at(total, near, x)
         size = np.linalg.norm(total, axis=1, keepdims=True)
@@ -145,9 +152,8 @@ def assign_cells(df: DataFrame, centre: np.ndarray, probes: int, *, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                s = _matrix(b.column(1)) @ shared.value.T
-                p = min(probes, s.shape[1])
-                top = np.argsort(-s, axis=1, kind="stable")[:, :p].astype(np.int32)
+                p = min(probes, len(shared.value))
+                top = np.concatenate([np.argsort(-(part @ shared.value.T), axis=1, kind="stable")[:, :p] for part in _blocks(_matrix(b.column(1)), len(shared.value))]).astype(np.int32)
                 at = pa.array(np.repeat(np.arange(b.num_rows), p))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(top.ravel())], names=["id", "v", "cell"])
 
@@ -155,7 +161,7 @@ def assign_cells(df: DataFrame, centre: np.ndarray, probes: int, *, id_col: str
     return src.mapInArrow(run, "id long, v array<float>, cell int")
 
 
-def ivf_knn(queries: DataFrame, index: DataFrame, k: int, *, cells: int | None = None, probes: int = 16, same_id: bool = True, id_col: str = "vec_id", vector_col: str = "embedding", most: int = 1 << 14) -> DataFrame:
+def ivf_knn(queries: DataFrame, index: DataFrame, k: int, *, cells: int | None = None, probes: int = 32, same_id: bool = True, id_col: str = "vec_id", vector_col: str = "embedding", most: int = 1 << 14) -> DataFrame:
     """Approximate ``exact_knn`` by inner product: every vector is indexed under its nearest cell, a query looks into its ``probes`` nearest cells.
 
     Cells and parts of cells are matrix products: a cell of more than ``most`` vectors is dealt into parts, and its queries go to each part.
@@ -195,3 +201,113 @@ def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     """One row (queries, hits, recall): the share of the true neighbours (q, n) that were found."""
     hit = truth.select("q", "n").join(found.select("q", "n", F.lit(1).alias("hit")), ["q", "n"], "left")
     return hit.agg(F.countDistinct("q").alias("queries"), F.count("hit").alias("hits"), F.round(F.try_divide(F.count("hit"), F.count(F.lit(1))), 6).alias("recall"))
+
+
+# --- stored index of cells and codes -----------------------------------------------------------------------------
+#: Values that a code's part can have: a byte.
+CODES = 256
+
+
+def _nearest(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    half = (centre * centre).sum(1) / 2
+    return np.concatenate([np.argmax(part @ centre.T - half, axis=1) for part in _blocks(x, len(centre))]) if len(x) else np.zeros(0, int)
+
+
+def train_codes(x: np.ndarray, parts: int, rounds: int = 12) -> np.ndarray:
+    """(parts, CODES, width) centroids of the parts of vectors, by k-means."""
+    width = x.shape[1] // parts
+    out = np.zeros((parts, CODES, width))
+    for p in range(parts):
+        y = x[:, p * width : (p + 1) * width]
+        centre = y[np.linspace(0, len(y) - 1, CODES).astype(int)].copy()
+        for _ in range(rounds):
+            near = _nearest(y, centre)
+            n = np.bincount(near, minlength=CODES)
+            total = np.zeros_like(centre)
+            np.add.at(total, near, y)
+            centre = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centre)
+        out[p] = centre
+    return out
+
+
+def build_index(index: DataFrame, path: str, *, cells: int | None = None, parts: int = 16, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 1 << 16) -> None:
+    """Writes an index: ``vectors`` (cell, id, code), a byte for each of ``parts`` of what a vector differs from its cell's centroid by, in folders by cell group; and
+    ``model`` (kind, k, values), the centroids of cells and codes.
+
+    Centroids come from a bounded sample; all vectors are coded in one pass over them.  Widths are a multiple of ``parts``."""
+    spark = index.sparkSession
+    n = index.count()
+    centre = train_cells(index, cells or max(1, cell_count(n) // 8), id_col=id_col, vector_col=vector_col, sample=min(sample, training_rows(n)))
+    rows = index.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
+    x = _matrix(rows.orderBy(F.xxhash64("id"), "id").limit(min(sample, training_rows(n))).toArrow()["v"])
+    x = x - centre[np.concatenate([np.argmax(part @ centre.T, axis=1) for part in _blocks(x, len(centre))])]
+    codes = train_codes(x, parts)
+    shared = spark.sparkContext.broadcast((centre, codes))
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, codes = shared.value
+        width = codes.shape[2]
+        for b in batches:
+            if b.num_rows:
+                cell = b.column(2).to_numpy()
+                rest = _matrix(b.column(1)) - centre[cell]
+                out = np.stack([_nearest(rest[:, p * width : (p + 1) * width], codes[p]) for p in range(len(codes))], axis=1).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), pa.array([r.tobytes() for r in out], pa.binary())], names=["cell", "id", "code"])
+
+    coded = assign_cells(index, centre, 1, id_col=id_col, vector_col=vector_col).mapInArrow(code, "cell int, id long, code binary")
+    coded.withColumn("cells", F.floor(F.col("cell") / 256).cast("int")).repartition("cells", "cell").sortWithinPartitions("cells", "cell", "id").write.partitionBy("cells").mode("overwrite").parquet(f"{path}/vectors")
+    model = [("cell", i, c.tolist()) for i, c in enumerate(centre)] + [("code", p * CODES + i, c.tolist()) for p in range(parts) for i, c in enumerate(codes[p])]
+    spark.createDataFrame(model, "kind string, k int, values array<double>").write.mode("overwrite").parquet(f"{path}/model")
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The centroids of cells and of codes; their number is bounded by :func:`cell_count` and the parts of a code."""
+    rows = spark.read.parquet(f"{path}/model").orderBy("kind", "k").toArrow()
+    kind = np.array(rows["kind"].to_pylist())
+    values = rows["values"].combine_chunks()
+    cells, codes = (np.array(values.filter(pa.array(kind == k)).to_pylist()) for k in ("cell", "code"))
+    return cells, codes.reshape(-1, CODES, codes.shape[1])
+
+
+def search_index(queries: DataFrame, path: str, k: int, *, probes: int = 32, refine: int = 8, vectors: DataFrame | None = None, same_id: bool = True, id_col: str = "vec_id", vector_col: str = "embedding", most: int = 1 << 16) -> DataFrame:
+    """Approximate ``exact_knn`` by inner product over a stored index: (q, n, rank, score).
+
+    A query looks into its ``probes`` nearest cells; scores of codes are sums of table look-ups.  With ``vectors`` the best ``refine * k`` of each query are
+    scored anew by the vectors themselves.  Large cells are dealt into parts; queries go to each part."""
+    spark = queries.sparkSession
+    centre, codes = load_model(spark, path)
+    shared = spark.sparkContext.broadcast((centre, codes))
+    x = spark.read.parquet(f"{path}/vectors").select("cell", "id", "code")
+    parts = x.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts"))
+    x = x.join(parts, "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "code", F.lit(None).cast("array<float>").alias("v"))
+    q = assign_cells(queries, centre, probes, id_col=id_col, vector_col=vector_col).join(parts, "cell")
+    q = q.select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", F.lit(None).cast("binary").alias("code"), "v")
+    wide = k * (refine if vectors is not None else 1)
+
+    def search(table: pa.Table) -> pa.Table:
+        centre, codes = shared.value
+        asked = np.array([c is None for c in table["code"].to_pylist()])
+        left, right = table.filter(pa.array(asked)), table.filter(pa.array(~asked))
+        out = ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)])
+        if len(left) and len(right):
+            right = right.sort_by("id")
+            ids, code = right["id"].to_numpy(), np.frombuffer(b"".join(right["code"].to_pylist()), np.uint8).reshape(len(right), -1)
+            at, width = centre[left["cell"][0].as_py()], codes.shape[2]
+            for own, v in zip(left["id"].to_pylist(), _matrix(left["v"])):
+                look = np.stack([codes[p] @ v[p * width : (p + 1) * width] for p in range(len(codes))])
+                s = look[np.arange(len(codes))[None, :], code].sum(axis=1) + at @ v
+                if same_id:
+                    s[ids == own] = -np.inf
+                top = np.argsort(-s, kind="stable")[:wide]
+                top = top[s[top] > -np.inf]
+                for to, c in zip(out, (np.full(len(top), own), ids[top], np.round(s[top], DIGITS))):
+                    to.append(c)
+        return pa.table({n: np.concatenate(c) for n, c in zip(("q", "n", "score"), out)})
+
+    found = best(q.unionByName(x).groupBy("cell", "part").applyInArrow(search, "q long, n long, score double"), wide)
+    if vectors is None:
+        return found
+    side = lambda df, name, v: df.select(F.col(id_col).cast("long").alias(name), F.col(vector_col).alias(v))
+    both = found.select("q", "n").join(side(vectors, "n", "b"), "n").join(side(queries, "q", "a"), "q")
+    product = F.aggregate(F.zip_with("a", "b", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, t: s + t)
+    return best(both.select("q", "n", F.round(product, DIGITS).alias("score")), k)

@@ -1,6 +1,6 @@
 """Registered queries of the library; their SQL is beside them."""
 
-from . import texts, training, vectors
+from . import stores, texts, training, vectors
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "texts", "training", "vectors"]
+__all__ = ["ORACLES", "QUERIES", "stores", "texts", "training", "vectors"]

@@ -49,28 +49,68 @@ def titled(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema="title string, text string", quote="")
 
 
-def binary_arrays(spark: SparkSession, path: str, dtype: str, width: int, *, pattern: str = "*") -> DataFrame:
-    """(file, row, values) of raw fixed-width array files: ``width`` values a row.  A size that is no multiple of a row is an error."""
+#: Rows of an array file that one task reads at a time.
+RANGE_ROWS = 1 << 20
+
+
+def _open(uri: str):
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    return system.open_input_file(path)
+
+
+def _layout(uri: str, size: int, dtype: str, width: int) -> tuple[int, str, int, int]:
+    """(offset of the values, their type, values in a row, rows) of a file: as its header says, or as given where it has none."""
+    offset, kind, columns = 0, np.dtype(dtype), width
+    with _open(uri) as f:
+        if f.read(6) == b"\x93NUMPY":
+            f.seek(0)
+            version = np.lib.format.read_magic(f)
+            shape, fortran, kind = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)
+            if fortran or not shape or len(shape) > 2:
+                raise ValueError(f"{uri}: an array of shape {shape} in this order has no rows")
+            offset, columns = f.tell(), int(np.prod(shape[1:], dtype=int))
+    values = size - offset
+    if values <= 0 or columns <= 0 or values % (kind.itemsize * columns):
+        raise ValueError(f"{uri}: {values} bytes are no rows of {columns}")
+    return offset, kind.str, columns, values // (kind.itemsize * columns)
+
+
+def binary_arrays(spark: SparkSession, path: str, dtype: str, width: int, *, pattern: str = "*", range_rows: int = RANGE_ROWS) -> DataFrame:
+    """(file, row, values) of array files of fixed width: with a header that names type and shape, or raw, ``width`` values a row.  A size that is no multiple of a
+    row is an error.
+
+    Only names and sizes of files are listed; tasks read ranges of ``range_rows`` rows, so a file may have any size.  Files must be in a store that Arrow reads."""
     kind = np.dtype(dtype)
     element = {"f": ("double", pa.float64()), "i": ("bigint", pa.int64()), "u": ("bigint", pa.int64())}[kind.kind]
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select(F.col("path"), F.col("content"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "length")
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                offset, found, columns, rows = _layout(name, size, dtype, width)
+                first = pa.array(range(0, rows, range_rows), pa.int64())
+                n = len(first)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n), first, pa.array([rows] * n), pa.array([offset] * n), pa.array([found] * n), pa.array([columns] * n)], names=["path", "first", "rows", "offset", "kind", "columns"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, body in zip(b.column(0).to_pylist(), b.column(1)):
-                flat = np.frombuffer(body.as_buffer(), kind)
-                if not len(flat) or len(flat) % width:
-                    raise ValueError(f"{name}: {len(flat)} values are no rows of {width}")
-                rows = flat.reshape(-1, width)
-                for i in range(0, len(rows), 4096):
-                    part = rows[i : i + 4096]
-                    values = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, width, dtype=np.int32)), pa.array(part.ravel()).cast(element[1]))
-                    yield pa.RecordBatch.from_arrays([pa.array([name.rpartition("/")[2]] * len(part)), pa.array(np.arange(i, i + len(part))), values], names=["file", "row", "values"])
+            for name, first, rows, offset, found, columns in zip(*(c.to_pylist() for c in b.columns)):
+                step = np.dtype(found)
+                with _open(name) as f:
+                    for i in range(first, min(rows, first + range_rows), 4096):
+                        n = min(4096, rows - i, first + range_rows - i)
+                        f.seek(offset + i * columns * step.itemsize)
+                        flat = np.frombuffer(f.read(n * columns * step.itemsize), step)
+                        values = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, columns, dtype=np.int32)), pa.array(flat.astype(step.newbyteorder("="))).cast(element[1]))
+                        yield pa.RecordBatch.from_arrays([pa.array([name.rpartition("/")[2]] * n), pa.array(np.arange(i, i + n)), values], names=["file", "row", "values"])
 
-    return files.mapInArrow(run, f"file string, row long, values array<{element[0]}>")
+    dealt = files.mapInArrow(ranges, "path string, first long, rows long, offset long, kind string, columns long").repartition("path", "first")
+    return dealt.mapInArrow(read, f"file string, row long, values array<{element[0]}>")
 
 
-def knn_shards(spark: SparkSession, path: str, width: int, *, rows_per_file: int = 50_000_000, dtype: str = "int64") -> DataFrame:
+def knn_shards(spark: SparkSession, path: str, width: int, *, dtype: str = "int64") -> DataFrame:
     """(q, rank, n) of neighbour files ``I{first row}_*.npy``: ranks from 0, missing neighbours (negative) left out."""
     raw = binary_arrays(spark, path, dtype, width, pattern="I*")
     first = F.regexp_extract("file", r"^I(\d+)", 1).cast("long")
@@ -88,7 +128,7 @@ def reshape(flat: DataFrame, width: int) -> DataFrame:
 
 def counted_shards(spark: SparkSession, path: str, extension: str = "tfrecord") -> DataFrame:
     """(file, n): record counts that the file names hold, ``...-{shard}-{count}.{extension}``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{extension}").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{extension}").load(path).select("path")
     name = F.element_at(F.split("path", "/"), -1)
     return files.select(name.alias("file"), F.regexp_extract(name, rf"-\d+-(\d+)\.{extension}$", 1).cast("long").alias("n"))
 

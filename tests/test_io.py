@@ -33,6 +33,14 @@ def test_arrays(spark, tmp_path):
     knn.mkdir()
     np.array([[0, 1], [1, -1]], np.int64).tofile(knn / "I0000000010_x.npy")
     assert sorted((r.q, r["rank"], r.n) for r in R.knn_shards(spark, str(knn), 2).collect()) == [(10, 0, 0), (10, 1, 1), (11, 0, 1)]
+    saved = tmp_path / "saved"
+    saved.mkdir()
+    want = np.arange(21, dtype=np.int64).reshape(7, 3)
+    np.save(saved / "I0000000100_x.npy", want)
+    np.save(saved / "f.npy", want.astype(np.float32))
+    assert sorted((r.q, r["rank"], r.n) for r in R.knn_shards(spark, str(saved), 99).collect()) == [(100 + i, j, 3 * i + j) for i in range(7) for j in range(3)]
+    rows = R.binary_arrays(spark, str(saved), "float32", 99, pattern="f*", range_rows=2).orderBy("row").collect()
+    assert [r["values"] for r in rows] == want.astype(float).tolist() and [r.row for r in rows] == list(range(7))
     flat = spark.createDataFrame([(i, i * i) for i in range(6)], "pos long, value long")
     assert {r.row: r["values"] for r in R.reshape(flat, 2).collect()} == {0: [0, 1], 1: [4, 9], 2: [16, 25]}
     with pytest.raises(ValueError):

@@ -48,9 +48,9 @@ def test_queries_without_sql(spark, sf_dir, name):
     rows = entry.queries()[name](spark, sf_dir)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
-    want = {"near_dup_extremes": docs, "wordpiece": docs, "token_budget_batches": docs, "merged_clusters": vectors, "ivf_knn_recall": 1}
+    want = {"near_dup_extremes": docs, "wordpiece": docs, "token_budget_batches": docs, "merged_clusters": vectors, "ivf_knn_recall": 1, "ivf_pq_recall": 1}
     assert rows.count() == want[name]
-    if name == "ivf_knn_recall":
+    if name in ("ivf_knn_recall", "ivf_pq_recall"):
         assert rows.first().recall >= 0.9
     if name == "merged_clusters":
         assert rows.select("doc_id").distinct().count() == vectors
