@@ -21,5 +21,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+#: A table below so many bytes for each core is dealt out anew: its files may be a single block.
+SMALL = 16 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table as it is, or, if small, dealt to all cores: a file of one block is otherwise one task, however much work its rows are."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name == "documents" and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL * cores:
+        return df.repartition(cores)
+    return df
