@@ -380,7 +380,7 @@ def _seat_pairs(parts: int, total: int, strength: float, seed: int, samples: int
     def work(part: int, got: dict) -> Iterator[tuple]:
         asked = [(s, home, unpack(data)) for s, home, data in got[_PAIRS]]
         u, w, learned, cu, cw = (np.concatenate([x[k] for _, _, x in asked]).astype(np.int64) for k in range(5))
-        key, first, at = np.unique(u << 32 | w, return_index=True, return_inverse=True)
+        key, first, at = np.unique(pair_keys(u, w), return_index=True, return_inverse=True)
         c = np.bincount(at, learned, len(key)).astype(np.int64)
         u, w, cu, cw = u[first], w[first], cu[first], cw[first]
         once, twice = int((c == 1).sum()), int((c == 2).sum())
@@ -413,6 +413,14 @@ def _seat_pairs(parts: int, total: int, strength: float, seed: int, samples: int
     return work
 
 
+def pair_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A number for each pair of ids, equal for equal pairs only: ids of 32 bits and more are numbered anew."""
+    if len(u) and max(u.max(), w.max()) >> 32:
+        u = np.unique(u, return_inverse=True)[1].astype(np.int64)
+        w = np.unique(w, return_inverse=True)[1].astype(np.int64)
+    return u << 32 | w
+
+
 def discount_of(once: int, twice: int) -> float:
     """The usual estimate of a discount from the numbers of things seen once and twice."""
     return float(np.clip(once / (once + 2 * twice) if once else 0.5, 0.05, 0.95))

@@ -50,3 +50,11 @@ def test_weights_settle_with_many_customers():
     weight = lambda t: (1 + d * t.sum()) * p
     one, more = (lm.gibbs(c, weight, d, np.random.default_rng(1), burn=b, keep=3).sum(axis=1).mean() for b in (4, 60))
     assert abs(one / more - 1) < 0.03
+
+
+def test_pairs_of_large_ids_stay_apart():
+    u, w = np.array([3, 2, 3, 2**40]), np.array([5, 2**32 + 5, 5, 7])
+    key = lm.pair_keys(u, w)
+    assert key[0] == key[2] and len(set(key.tolist())) == 3
+    small = np.array([1, 2, 1]), np.array([2, 1, 2])
+    assert len(set(lm.pair_keys(*small).tolist())) == 2
