@@ -40,8 +40,8 @@ ORDER, SPAN, DECAY = 3, 5, 0.75
 RARITY = 2
 #: Words in a clause.
 CLAUSE = 2
-#: Weight of the training errors.
-COST = 1000.0
+#: Weight of the training errors, for each positive example; errors of both classes weigh alike in all.
+COST = 0.5
 #: Landmarks from toxic and from clean documents.
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 384, 128
 FOLDS = 5
@@ -359,6 +359,7 @@ def suspects(toxic: list[str], clean: list[str], most: int = 64) -> list[str]:
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: float = COST, rounds: int = 40) -> tuple[np.ndarray, float]:
     """A linear SVM with squared hinge loss, by Newton's method; classes weigh alike."""
+    cost *= max(1, (y > 0).sum())
     a = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
     s = cost * np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
     plain = np.append(np.ones(x.shape[1]), 1e-6)

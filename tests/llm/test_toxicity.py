@@ -186,7 +186,7 @@ def test_kernel_map_and_score_by_brute_force(model):
 def test_svm_is_at_its_minimum():
     rng = np.random.default_rng(3)
     x, y = rng.normal(size=(60, 4)), np.where(rng.random(60) < 0.3, 1.0, -1.0)
-    w, b = toxicity._svm(x, y, cost=5.0)
+    w, b = toxicity._svm(x, y, cost=5.0 / (y > 0).sum())
 
     def loss(w, b):
         share = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
