@@ -8,6 +8,7 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,7 @@ class WordEncoder:
 
         self.whole = Tokenizer.from_file(vocabulary)
         self.special = [t.content.lower().encode() for t in self.whole.get_added_tokens_decoder().values()]
+        self.sign = re.match(rb"[^a-z]*", commonprefix(self.special))[0]  # what they begin with, in any case of letters
         self.tok = Tokenizer.from_file(vocabulary)
         self.tok.encode_special_tokens = True  # what it gets has none, or had them in other letters
         self.memo: dict[bytes, bytes] = {}
@@ -119,7 +121,7 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, and the end id, as bytes of ``dtype``."""
-        special = [i for i, t in enumerate(texts) if any(x in t.lower() for x in self.special)]
+        special = [i for i, t in enumerate(texts) if self.sign in t and any(x in t.lower() for x in self.special)]
         if special:
             rest = iter(self.encode([t for i, t in enumerate(texts) if i not in set(special)]))
             mine = {i: np.array(self.whole.encode(texts[i].decode(), add_special_tokens=False).ids, self.dtype).tobytes() + self.end for i in special}
