@@ -206,8 +206,8 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         return size & (F.size(F.array_intersect(x["blocks"], y["blocks"])) * LARGE >= F.greatest(F.size(x["blocks"]), F.size(y["blocks"])) * SHARED)
 
     def finish(live: DataFrame) -> DataFrame:
-        """Each line outside the largest component of its bucket against all lines of other components, in blocks: a row for a line and a block, none for a pair.
-        Two lines are compared in one bucket only, that of their first common blocks."""
+        """Each line outside the largest component of its bucket against the lines of other components, in blocks: a row for a line and a block, none for a pair.
+        Two lines are compared in one bucket only, that of their first common blocks, and a line not with the rest of a component once it is linked to a line of it."""
         fields = ["node", "component", "about", "line", "code"]
         whole = live.join(texts.select("node", "line", "code"), "node").select("bucket", "c", F.struct(*fields).alias("x"))
         main = live.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("m")).select("bucket", F.col("m.component").alias("main"))
@@ -224,7 +224,13 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
         probes = whole.join(main, "bucket").where(F.col("x.component") != F.col("main")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("c")
         probes = probes.join(blocks, ["bucket", "part"])  # dealt by blocks, so that a crowded bucket is many keys
-        return probes.select(F.col("x.node").alias("a"), F.explode(F.transform(F.filter("ys", linked), lambda y: y["node"])).alias("b"))
+        none = F.array().cast("array<struct<node: binary, component: binary>>")
+
+        def add(s: Column, y: Column) -> Column:
+            here = F.struct(y["node"].alias("node"), y["component"].alias("component"))
+            return F.when(~F.exists(s, lambda z: z["component"] == y["component"]) & linked(y), F.array_append(s, here)).otherwise(s)
+
+        return probes.select(F.col("x.node").alias("a"), F.explode(F.aggregate("ys", none, add)).alias("y")).select("a", F.col("y.node").alias("b"))
 
     live = cut(buckets.join(texts.select("node", "about"), "node"), "line-live")
     _, comp = link_buckets(live, alike, verify, finish, MOST)
