@@ -22,6 +22,7 @@ The final probabilities use the true sums, so that they add up to one.
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import uuid
 from collections import defaultdict
@@ -36,9 +37,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, fresh_path, utf8
+from .common import SLICE_BYTES, bounded_batches, cut, fresh_path, utf8
 from .token_files import _filesystem
-from .words import LOWER, WORD_BYTES, hash_spans, mix, split_words
+from .words import LOWER, WORD_BYTES, hash_spans, mix
 
 FOLDS, FOLD = 5, 1
 #: Strength of the restaurants of contexts, and of the root.
@@ -52,6 +53,8 @@ SETTLED = 0.002
 #: Bytes of text in one slice; a longer text is a slice of its own.
 SLICE = 16 << 20
 
+#: Tables for ``bytes.translate``, which needs no index of eight bytes for each byte.
+_LOWER, _IN_WORD = LOWER.tobytes(), WORD_BYTES.tobytes()
 _END, _UNKNOWN, _START = np.uint64(0x1D8AF066B3A2C9E7), 0, 1
 _MSG = "to int, kind int, slice long, part int, data binary, stats array<bigint>"
 _SLICE_FILE, _WORDS, _IDS, _PAIRS, _TABLES, _SUMS, _ROOT = range(7)
@@ -77,6 +80,15 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker lives on, and its later tasks may need little while the JVM needs more."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
 def _messages(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
     cols = list(zip(*rows)) if rows else [[] for _ in kinds]
@@ -93,6 +105,7 @@ def _deliver(messages: DataFrame, parts: int, work: Callable[[int, dict], Iterat
             for t, kind, s, p, data in zip(*(b.column(i).to_pylist() for i in range(5))):
                 got[kind].append((s, p, data))
                 to = t
+        b = data = None
         if to is None:
             return
         for kind in got:
@@ -105,6 +118,9 @@ def _deliver(messages: DataFrame, parts: int, work: Callable[[int, dict], Iterat
                 yield _messages(out)
                 out, size = [], 0
         yield _messages(out)
+        got.clear()
+        out = row = None
+        give_back()
 
     return messages.repartitionById(parts, F.col("to")).mapInArrow(run, _MSG)
 
@@ -118,17 +134,46 @@ def _split(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the tokens of all texts, number of tokens of each text): its words, lower-cased, and one end."""
     body, off = utf8(texts)
-    low = LOWER[np.frombuffer(body, np.uint8)]
-    n = len(off) - 1
-    wide = np.full(len(low) + n, 0x20, np.uint8)  # a space after each text keeps its words apart from the next one's
-    wide[np.arange(len(low)) + np.repeat(np.arange(n), np.diff(off))] = low
-    off = off + np.arange(n + 1)
-    s, e = split_words(wide, WORD_BYTES)
-    h = hash_spans(wide, s, e)
+    ends = off.tolist()
+    wide = b" ".join([*(body[a:b] for a, b in zip(ends, ends[1:])), b""]).translate(_LOWER)  # a space after each text keeps its words apart from the next one's
+    off = off + np.arange(len(off))
+    edge = np.diff(np.frombuffer(b"\0" + wide.translate(_IN_WORD) + b"\0", np.int8))
+    s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    h = hash_spans(np.frombuffer(wide, np.uint8), s, e, 1 << 17)
     first = np.searchsorted(s, off)
     return np.insert(h, first[1:], _END), np.diff(first) + 1
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in their order, where one of each is, of each key its place among them), in about a third of the memory of ``np.unique``."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return keys[new], order[new], place
+
+
+def distinct_tokens(texts: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the distinct tokens, of each token its place among them, number of tokens of each text), SLICE_BYTES of text at a time."""
+    words, places, length = [], [], []
+    for t in texts:
+        step = max(1, int(len(t) * SLICE_BYTES / max(1, t.nbytes)))
+        for i in range(0, len(t), step):
+            h, n = tokens_of(t.slice(i, step))
+            w, _, place = distinct(h)
+            words.append(w)
+            places.append(place)
+            length.append(n)
+    every, _, of = distinct(np.concatenate(words))
+    start = 0
+    for k, w in enumerate(words):
+        places[k] = of[start : start + len(w)][places[k]]
+        start += len(w)
+    return every, np.concatenate(places), np.concatenate(length)
+
+
 @dataclass
 class Slice:
     doc_id: np.ndarray
@@ -141,9 +186,11 @@ class Slice:
     def pairs(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(places of the context and of the word of each distinct pair, of each token its pair); the start's place is the last."""
         v = len(self.salt)
-        before = np.append(v, self.token[:-1]).astype(np.int64)
-        before[np.cumsum(self.length)[:-1]] = v
-        key, pair = np.unique(before * (v + 1) + self.token, return_inverse=True)
+        key = np.append(v, self.token[:-1]).astype(np.int64)
+        key[np.cumsum(self.length)[:-1]] = v
+        key *= v + 1
+        key += self.token
+        key, _, pair = distinct(key)
         return key // (v + 1), key % (v + 1), pair
 
     def save(self, uri: str) -> None:
@@ -157,21 +204,21 @@ class Slice:
         fs, path = _filesystem(uri)
         with fs.open_input_file(path) as f:
             a = unpack(f.read())
-        return Slice(a[0].astype(np.uint64).view(np.int64), a[1].astype(bool), a[2].astype(bool), a[3].astype(np.int64), a[4].astype(np.int64), a[5].astype(np.int64))
+        return Slice(a[0].astype(np.uint64).view(np.int64), a[1].astype(bool), a[2].astype(bool), a[3].astype(np.int64), a[4].astype(np.int32), a[5].astype(np.int64))
 
 
 def _scan(parts: int, folder: str, slice_bytes: int):
     """(1) of the module's plan.  The table that it makes is written out, so that later stages see one set of slices."""
 
     def one(number: int, home: int, ids: list, train: list, texts: list) -> Iterator[tuple]:
-        h, length = tokens_of(pa.concat_arrays([t.cast(pa.large_utf8()) for t in texts]))
+        words, token, length = distinct_tokens(texts)
+        texts.clear()
         doc_id = pa.concat_arrays(ids)
         learn = np.concatenate(train)
-        words, at, n = np.unique(h, return_inverse=True, return_counts=True)
-        order = np.argsort(-n, kind="stable")
-        rank = np.empty(len(words), np.int64)
+        order = np.argsort(-np.bincount(token, minlength=len(words)), kind="stable")
+        rank = np.empty(len(words), np.int32)
         rank[order] = np.arange(len(words))
-        token, words = rank[at], words[order]
+        token, words = rank[token], words[order]
         salt = (words >> np.uint64(48)).astype(np.int64)
         uri = f"{folder}/{number}-{uuid.uuid4().hex}"
         Slice(doc_id.fill_null(0).to_numpy(), ~doc_id.is_null().to_numpy(zero_copy_only=False), learn, length, token, salt).save(uri)
@@ -186,7 +233,11 @@ def _scan(parts: int, folder: str, slice_bytes: int):
         task, k, held, size = TaskContext.get().partitionId(), 0, ([], [], []), 0
 
         def flush() -> pa.RecordBatch:
-            return _messages(list(one(task << 24 | k, (task + k * 7919) % parts, *held)))
+            out = _messages(list(one(task << 24 | k, (task + k * 7919) % parts, *held)))
+            for x in held:
+                x.clear()
+            give_back()
+            return out
 
         for b in batches:
             step = max(1, int(b.num_rows * slice_bytes / max(1, b.column(2).nbytes)))
@@ -194,7 +245,7 @@ def _scan(parts: int, folder: str, slice_bytes: int):
                 x = b.slice(i, step)
                 if size and size + x.column(2).nbytes > slice_bytes:
                     yield flush()
-                    held, size, k = ([], [], []), 0, k + 1
+                    size, k = 0, k + 1
                 for to, c in zip(held, (x.column(0), x.column(1).to_numpy(zero_copy_only=False), x.column(2))):
                     to.append(c)
                 size += x.column(2).nbytes
@@ -328,7 +379,10 @@ def draw_tables(customers: np.ndarray, weight: np.ndarray, discount: float, rng:
     out = np.minimum(customers, 1).astype(np.int64)
     log_weight = np.log(np.maximum(weight, 1e-300))
     order = np.argsort(customers, kind="stable")
-    sizes, starts = np.unique(customers[order], return_index=True)
+    ordered = customers[order]
+    starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
+    sizes = ordered[starts]
+    del ordered
     for n, i, j in zip(sizes.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)]):
         if n < 2:
             continue
@@ -340,7 +394,7 @@ def draw_tables(customers: np.ndarray, weight: np.ndarray, discount: float, rng:
             k = np.arange(1, EXACT + 1)
             at = table[EXACT, 1:] + (k - 1) * np.log(discount) + _log_factorial(EXACT)[:-1]
             base = np.interp(t * scale, k, at) - (t - 1) * np.log(discount) - _log_factorial(len(t))[:-1]
-        step = max(1, (1 << 20) // len(t))
+        step = max(1, (1 << 17) // len(t))
         for lo in range(i, j, step):
             at_rows = order[lo : min(j, lo + step)]
             x = base + log_weight[at_rows, None] * t
@@ -378,17 +432,23 @@ def _seat_pairs(parts: int, total: int, strength: float, seed: int, samples: int
     """(4); statistics: pairs seen once, pairs seen twice."""
 
     def work(part: int, got: dict) -> Iterator[tuple]:
-        asked = [(s, home, unpack(data)) for s, home, data in got[_PAIRS]]
-        u, w, learned, cu, cw = (np.concatenate([x[k] for _, _, x in asked]).astype(np.int64) for k in range(5))
-        key, first, at = np.unique(pair_keys(u, w), return_index=True, return_inverse=True)
+        asked, columns = [], []
+        for s, home, data in got.pop(_PAIRS):
+            columns.append(unpack(data))
+            asked.append((s, home, len(columns[-1][0])))
+        u, w, learned, cu, cw = map(np.concatenate, zip(*columns))
+        del columns
+        key, first, at = distinct(pair_keys(u, w))
         c = np.bincount(at, learned, len(key)).astype(np.int64)
-        u, w, cu, cw = u[first], w[first], cu[first], cw[first]
+        del key, learned
+        u, w, cu, cw = (x[first].astype(np.int64) for x in (u, w, cu, cw))
         once, twice = int((c == 1).sum()), int((c == 2).sum())
         d = discount_of(once, twice)
         context, ctx = np.unique(u, return_inverse=True)
         here = np.bincount(ctx, c, len(context))
         rest = np.maximum(0, cu - here[ctx])
         base = cw / max(1, total)
+        del first, cu, cw, here
 
         def weight(tables: np.ndarray) -> np.ndarray:
             mine = np.bincount(ctx, tables, len(context))[ctx]
@@ -396,9 +456,9 @@ def _seat_pairs(parts: int, total: int, strength: float, seed: int, samples: int
 
         t = gibbs(c, weight, d, np.random.default_rng([seed, part]), keep=samples)
         end = 0
-        for k, (s, home, x) in enumerate(asked):
-            mine = at[end : end + len(x[0])]
-            end += len(x[0])
+        for k, (s, home, n) in enumerate(asked):
+            mine = at[end : end + n]
+            end += n
             many = mine[c[mine] > 1]
             yield (home, _TABLES, s, part, pack(c[mine], *t[:, many]), None if k else [once, twice])
         for kind, ids in ((0, w), (1, u)):
@@ -415,10 +475,12 @@ def _seat_pairs(parts: int, total: int, strength: float, seed: int, samples: int
 
 def pair_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     """A number for each pair of ids, equal for equal pairs only: ids of 32 bits and more are numbered anew."""
-    if len(u) and max(u.max(), w.max()) >> 32:
-        u = np.unique(u, return_inverse=True)[1].astype(np.int64)
-        w = np.unique(w, return_inverse=True)[1].astype(np.int64)
-    return u << 32 | w
+    if len(u) and max(int(u.max()), int(w.max())) >> 32:
+        u, w = distinct(u)[2], distinct(w)[2]
+    key = u.astype(np.int64)
+    key <<= 32
+    key |= w.astype(np.int64)
+    return key
 
 
 def discount_of(once: int, twice: int) -> float:
@@ -505,44 +567,48 @@ def predictive(c, t, cu, tu, root_customers, root_tables, known, k: int, totals:
 def _score_slices(parts: int, totals: Totals, strength: float, root_strength: float, samples: int):
     """(6): rows (doc_id, n_tokens, n_known, base_score, score)."""
 
+    def one(mine: dict) -> pa.RecordBatch:
+        file = Slice.load(mine[_SLICE_FILE][0][1].decode())
+        a = _ask(file, mine[_IDS], parts, totals.documents)
+        root = _named(file, mine[_ROOT], parts, 3 * samples)
+        v = len(file.salt)
+        c, t = np.zeros(len(a.u), np.int64), np.zeros((samples, len(a.u)), np.int64)
+        for p, data in mine[_TABLES]:
+            at = a.order[a.ends[p - 1] if p else 0 : a.ends[p]]
+            count, *tables = unpack(data)
+            c[at] = count
+            many = at[count > 1]
+            for k in range(samples):
+                t[k, at] = np.minimum(count, 1)
+                t[k, many] = tables[k]
+        known = a.count[a.w] > 0
+        mean = np.zeros(len(a.u))
+        for k in range(samples):
+            tu = np.append(root[2 * samples + k], totals.start_tables[k])
+            mean += predictive(c, t[k], a.count[a.u], tu[a.u], root[k][a.w], root[samples + k][a.w], known, k, totals, strength, root_strength)
+        del c, t
+        base = np.log10((a.count[:v] + 0.5) / (totals.tokens + 0.5 * (totals.words + 1)))
+        starts = np.append(0, np.cumsum(file.length)[:-1])
+        cols = [
+            pa.array(file.doc_id, mask=~file.known_id),
+            pa.array(file.length),
+            pa.array(np.add.reduceat((a.count[:v] > 0).astype(np.int64)[file.token], starts)),
+            pa.array(np.add.reduceat(base[file.token], starts)),
+            pa.array(np.add.reduceat(np.log10(mean / samples)[a.pair], starts)),
+        ]
+        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = defaultdict(lambda: defaultdict(list))
         for b in batches:
             for kind, s, p, data in zip(*(b.column(i).to_pylist() for i in range(1, 5))):
                 got[s][kind].append((p, data))
+        b = data = None
         for s in sorted(got):
-            mine = got.pop(s)
-            if not mine[_SLICE_FILE]:
-                continue
-            file = Slice.load(mine[_SLICE_FILE][0][1].decode())
-            a = _ask(file, mine[_IDS], parts, totals.documents)
-            root = _named(file, mine[_ROOT], parts, 3 * samples)
-            v = len(file.salt)
-            c, t = np.zeros(len(a.u), np.int64), np.zeros((samples, len(a.u)), np.int64)
-            for p, data in mine[_TABLES]:
-                at = a.order[a.ends[p - 1] if p else 0 : a.ends[p]]
-                count, *tables = unpack(data)
-                c[at] = count
-                many = at[count > 1]
-                for k in range(samples):
-                    t[k, at] = np.minimum(count, 1)
-                    t[k, many] = tables[k]
-            known = a.count[a.w] > 0
-            mean = np.zeros(len(a.u))
-            for k in range(samples):
-                tu = np.append(root[2 * samples + k], totals.start_tables[k])
-                mean += predictive(c, t[k], a.count[a.u], tu[a.u], root[k][a.w], root[samples + k][a.w], known, k, totals, strength, root_strength)
-            score = np.log10(mean / samples)[a.pair]
-            base = np.log10((a.count[:v] + 0.5) / (totals.tokens + 0.5 * (totals.words + 1)))[file.token]
-            starts = np.append(0, np.cumsum(file.length)[:-1])
-            cols = [
-                pa.array(file.doc_id, mask=~file.known_id),
-                pa.array(file.length),
-                pa.array(np.add.reduceat((a.count[:v] > 0)[file.token].astype(np.int64), starts)),
-                pa.array(np.add.reduceat(base, starts)),
-                pa.array(np.add.reduceat(score, starts)),
-            ]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+            if got[s][_SLICE_FILE]:
+                out = one(got.pop(s))
+                give_back()
+                yield out
 
     return run
 
