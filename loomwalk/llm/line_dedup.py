@@ -102,8 +102,15 @@ def _total(parts: Column) -> Column:
     return F.aggregate(parts, F.lit(0), lambda s, d: s + d)
 
 
-def _difference(x: Column, y: Column) -> Column:
-    return F.zip_with(x, y, lambda a, b: F.when(a == b, 0).otherwise(F.levenshtein(a, b)))
+def _within(x: Column, y: Column, most: Column) -> Column:
+    """Whether the edit distances of the strings of two arrays, one by one, add up to ``most`` at most.  Each is sought no further than what the earlier ones have left of it."""
+
+    def spend(left: Column, p: Column) -> Column:
+        d = F.call_function("levenshtein", p["a"], p["b"], left)  # -1 beyond left
+        return F.when(left < 0, left).otherwise(left - F.pmod(d, left + 2))
+
+    apart = F.array_compact(F.zip_with(x, y, lambda a, b: F.when(a != b, F.struct(a.alias("a"), b.alias("b")))))
+    return _let(apart, lambda ps: F.when(F.size(ps) > most, False).otherwise(F.aggregate(ps, most, spend) >= 0))
 
 
 def anchored(x: Column, y: Column, most: Column) -> Column:
@@ -120,7 +127,7 @@ def anchored(x: Column, y: Column, most: Column) -> Column:
 
     def close(gap: Column) -> Column:
         least = _total(F.zip_with(gap["x"], gap["y"], lambda a, b: F.abs(F.length(a) - F.length(b))))
-        return F.when(least > most, False).otherwise(_total(_difference(gap["x"], gap["y"])) <= most)
+        return F.when(least > most, False).otherwise(_within(gap["x"], gap["y"], most))
 
     once = F.struct(_once_in(x).alias("x"), _once_in(y).alias("y"))
     return _let(_let(once, common), lambda anchors: _let(F.struct(between(x, anchors).alias("x"), between(y, anchors).alias("y")), close))
@@ -141,11 +148,14 @@ def similar(ta: Column, tb: Column, ca: Column, cb: Column) -> Column:
     def near(x: Column, y: Column) -> Column:
         return F.abs(F.length(x) - F.length(y)) <= most(x, y)
 
-    x, y = F.split(ta, " "), F.split(tb, " ")
-    share = F.size(F.array_intersect(x, y)) * SKETCH >= F.greatest(F.size(F.array_distinct(x)), F.size(F.array_distinct(y))) * AGREE
-    word_by_word = (F.size(x) == F.size(y)) & (_total(_difference(x, y)) <= most(ta, tb))
-    plain = F.when(word_by_word, True).when(_dense(ta), within(ta, tb)).when(~share, False).otherwise(anchored(x, y, most(ta, tb)))
-    return F.when(ta.isNotNull() & tb.isNotNull(), near(ta, tb) & plain).otherwise(near(ca, cb) & within(ca, cb))
+    def plain(words: Column) -> Column:
+        x, y = words["x"], words["y"]
+        share = F.size(F.array_intersect(x, y)) * SKETCH >= F.greatest(F.size(F.array_distinct(x)), F.size(F.array_distinct(y))) * AGREE
+        word_by_word = (F.size(x) == F.size(y)) & _within(x, y, most(ta, tb))
+        return F.when(word_by_word, True).when(_dense(ta), within(ta, tb)).when(~share, False).otherwise(anchored(x, y, most(ta, tb)))
+
+    words = F.struct(F.split(ta, " ").alias("x"), F.split(tb, " ").alias("y"))
+    return F.when(ta.isNotNull() & tb.isNotNull(), near(ta, tb) & _let(words, plain)).otherwise(near(ca, cb) & within(ca, cb))
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
