@@ -28,7 +28,8 @@ FILE_DOCUMENTS = 1_000_000
 
 
 #: Words of lower-case Latin letters, and perhaps one mark after them: the splitter makes one piece of the letters and one of the mark.
-_PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
+_MARKS = frozenset(".,;:!?")
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+[.,;:!?]?")
 
 
 class WordEncoder:
@@ -58,6 +59,8 @@ class WordEncoder:
         self.plain = Tokenizer.from_file(vocabulary)  # the same model; words need no normaliser and no splitter but for white space
         self.plain.normalizer = None
         self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        if hasattr(self.plain.model, "_resize_cache"):
+            self.plain.model._resize_cache(0)  # it meets a word once; the memo is the cache
         self.last_piece = np.zeros(self.tok.get_vocab_size(), bool)
         self.last_piece[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
         probe = ["grüße", "ça", "naïve", "ÿ", "a", "the", "queauxß"]
@@ -83,21 +86,22 @@ class WordEncoder:
 
     def _learn(self, words: list[bytes]) -> None:
         memo, rest, tailed, letters = self.memo, [], [], {}
-        match = _PLAIN.fullmatch
-        for w, s in zip(words, b" ".join(words).decode().split(" ") if self.fast else ()):
-            if (m := match(s)) is None:
-                rest.append(w)
-            elif m.end(1) == len(s):
-                letters[s] = w
-            else:
-                tailed.append((w, m[1], m[2]))
+        if self.fast:
+            strings = b" ".join(words).decode().split(" ")
+            for w, s, plain in zip(words, strings, map(_PLAIN.fullmatch, strings)):
+                if plain is None:
+                    rest.append(w)
+                elif s[-1] in _MARKS:
+                    tailed.append((w, s[:-1], s[-1]))
+                else:
+                    letters[s] = w
         fresh = {s: None for _, s, _ in tailed if s not in letters and s.encode() not in memo}
         new = [*letters, *fresh]
         ids = dict(zip(new, self._letters(new) or map(self._raw, new)))
-        for s, w in letters.items():
-            memo[w] = ids[s]
+        memo.update(zip(letters.values(), map(ids.__getitem__, letters)))
+        marks = {x: self._marks(x) for _, _, x in tailed}
         for w, s, tail in tailed:
-            memo[w] = (ids[s] if s in ids else memo[s.encode()]) + self._marks(tail)
+            memo[w] = (ids[s] if s in ids else memo[s.encode()]) + marks[tail]
         if not self.fast:
             rest = words
         mark = self.mark.encode()
@@ -128,7 +132,7 @@ class WordEncoder:
             return [mine[i] if i in mine else next(rest) for i in range(len(texts))]
         words = [t.lower().split() for t in texts]
         every = set().union(*words)
-        new = [w for w in every if w not in self.memo]
+        new = list(every.difference(self.memo))
         if len(self.memo) + len(new) > self.most:  # a new generation; what is still in use comes over from the last one
             self.last, self.memo = self.memo, {}
             new = list(every)
