@@ -15,6 +15,9 @@ from pyspark.sql import types as T
 
 from .common import append_columns, utf8
 
+#: Bytes of text that a worker encodes at a time: its arrays and lists are some hundred times as large.
+SLICE_BYTES = 256 << 10
+
 # --- classes of code points ----------------------------------------------------------------------------------
 LETTER, NUMBER, OTHER, SPACE, BLANK = range(5)  # BLANK: U+0020, which may lead a piece
 _WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -258,7 +261,7 @@ def encode_documents(docs: DataFrame, *, vocabulary: str | None = None, text_col
 
         return run
 
-    return append_columns(docs, text_col, fields, make, keep=keep)
+    return append_columns(docs, text_col, fields, make, keep=keep, slice_bytes=SLICE_BYTES)
 
 
 def decode_ids(docs: DataFrame, *, vocabulary: str | None = None, ids_col: str = "ids", out_col: str = "text") -> DataFrame:

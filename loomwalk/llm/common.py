@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -66,6 +67,15 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker lives on, and its later tasks may need little while the JVM needs more."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], text_at: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each holds about ``most`` bytes of text, or one row."""
     for b in batches:
@@ -102,6 +112,7 @@ def append_columns(
             if b.num_rows:
                 cols = [b.column(i) for i in range(len(names))] + list(f(b.column(len(names))))
                 yield pa.RecordBatch.from_arrays([c.cast(x.type) if c.type != x.type else c for c, x in zip(cols, arrow)], schema=arrow)
+        give_back()
 
     return src.mapInArrow(run, schema).toDF(*names, *[n for n, _ in fields])
 

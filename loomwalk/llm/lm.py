@@ -22,7 +22,6 @@ The final probabilities use the true sums, so that they add up to one.
 
 from __future__ import annotations
 
-import ctypes
 import pickle
 import uuid
 from collections import defaultdict
@@ -37,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, bounded_batches, cut, fresh_path, utf8
+from .common import SLICE_BYTES, bounded_batches, cut, fresh_path, give_back, utf8
 from .token_files import _filesystem
 from .words import LOWER, WORD_BYTES, hash_spans, mix
 
@@ -80,15 +79,6 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def give_back() -> None:
-    """Returns freed memory to the system: a worker lives on, and its later tasks may need little while the JVM needs more."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # a C library without it
-        pass
-
-
 def _messages(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
     cols = list(zip(*rows)) if rows else [[] for _ in kinds]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, bounded_batches, cut, utf8
+from .common import append_columns, bounded_batches, cut, give_back, utf8
 from .words import LOWER, mix
 
 #: The bound of the training sample: labelled documents of each class, in the order of a hash, and bytes of text in all.
@@ -98,19 +98,17 @@ def clauses_of(data: np.ndarray, off: np.ndarray) -> Clauses:
     head[off[:-1]] = True
     head = head[:-1]
     begins = ~white & (np.append(True, white[:-1])[: len(low)] | head)
-    word = np.cumsum(begins)
+    word = np.cumsum(begins, dtype=np.int32)
     at = np.flatnonzero(_CLASS[low] < 255)
     if not len(at):
-        none = np.zeros(0, np.int64)
-        return Clauses(none, none, none)
-    letter, word = _CLASS[low[at]].astype(np.int32), word[at]
-    text = np.searchsorted(off, at, "right") - 1
+        return Clauses(np.zeros(0, np.uint8), np.zeros(0, np.int32), np.zeros(0, np.int64))
+    letter, word = _CLASS[low[at]], word[at]
     # A stop inside a word, as in "i.d.i.o.t", ends nothing: what counts is the number of stops before the word's first letter.
-    stops = np.cumsum(_STOP[low])[at]
+    stops = np.cumsum(_STOP[low], dtype=np.int32)[at]
     first = np.append(True, word[1:] != word[:-1])
     lead = np.flatnonzero(first)
     size = np.diff(np.append(lead, len(at)))
-    w_text, w_stops, single = text[lead], stops[lead], size == 1
+    w_text, w_stops, single = np.searchsorted(off, at[lead], "right") - 1, stops[lead], size == 1
     last_stops = stops[np.append(lead[1:], len(at)) - 1]
     apart = np.append(True, (w_text[1:] != w_text[:-1]) | (w_stops[1:] != last_stops[:-1]))
     glued = single & np.append(False, single[:-1]) & ~np.append(True, w_text[1:] != w_text[:-1])
@@ -120,10 +118,10 @@ def clauses_of(data: np.ndarray, off: np.ndarray) -> Clauses:
     begin = np.append(True, sentence[1:] != sentence[:-1])
     place = number - np.maximum.accumulate(np.where(begin, number, 0))
     clause = np.cumsum(begin | (place % CLAUSE == 0)) - 1
-    of_word = clause[np.cumsum(fresh) - 1]
+    of_word = clause.astype(np.int32)[np.cumsum(fresh) - 1]
     opens = np.append(True, clause[1:] != clause[:-1])
     begins = lead[fresh]
-    return Clauses(np.insert(letter, begins, _SPACE), np.insert(np.repeat(of_word, size), begins, clause).astype(np.int32), w_text[fresh][opens])
+    return Clauses(np.insert(letter, begins, _SPACE), np.insert(np.repeat(of_word, size), begins, clause), w_text[fresh][opens])
 
 
 def _subsequences(c: Clauses) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
@@ -131,7 +129,7 @@ def _subsequences(c: Clauses) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
     n = len(c.letter)
     for offsets in _OFFSETS:
         if n > (q := offsets[-1]):
-            code = c.letter[: n - q]
+            code = c.letter[: n - q].astype(np.int32)
             for o in offsets[1:]:
                 code = code * 32 + c.letter[o : n - q + o]
             yield c.clause[q:] == c.clause[: n - q], code, q + 1
@@ -196,7 +194,7 @@ class Landmarks:
     def kernel(self, c: Clauses, rarity: np.ndarray) -> np.ndarray:
         """Kernel values of all clauses with the landmarks."""
         out = np.zeros((len(c), self.table.shape[1]), np.float32)
-        for part, base in _parts(c, 1 << 11):
+        for part, base in _parts(c, 1 << 9):
             clause, code, value = features(part, rarity)
             row = self.row[code]
             some = np.flatnonzero(row)
@@ -248,7 +246,7 @@ class Model:
         best = np.zeros(len(off) - 1)
         c = clauses_of(data, off)
         if len(c):
-            bound = self.bounds(c)
+            bound = _bounds(self, c)
             order = np.lexsort((-bound, c.text))
             top = order[np.append(True, c.text[order][1:] != c.text[order][:-1])]
             rest = bound > 0
@@ -265,27 +263,50 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.decide(data, off) + self.shift, -30, 30)))
 
 
+def _runs(texts: list[str]) -> Iterator[list[str]]:
+    """The texts, so many at a time that they have SLICE_BYTES characters, or one text."""
+    run, size = [], 0
+    for t in texts:
+        if run and size + len(t) > SLICE_BYTES:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += len(t)
+    if run:
+        yield run
+
+
+def clauses_in(texts: list[str]) -> Clauses:
+    """:func:`clauses_of` all texts; beside the clauses, the memory is that of one run."""
+    parts, n_clauses, n_texts = [clauses_of(*_bytes([]))], 0, 0
+    for run in _runs(texts):
+        c = clauses_of(*_bytes(run))
+        parts.append(Clauses(c.letter, c.clause + np.int32(n_clauses), c.text + n_texts))
+        n_clauses, n_texts = n_clauses + len(c), n_texts + len(run)
+    return Clauses(*(np.concatenate([getattr(c, f) for c in parts]) for f in ("letter", "clause", "text")))
+
+
 def _bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     raw = [t.encode() for t in texts]
     return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
 
 
-def _word_sets(texts: list[str]) -> list[set[str]]:
-    return [{w[i : i + 24] for w in re.findall(r"[^\W_]+", t.lower()) for i in range(0, len(w), 24)} for t in texts]
+def _word_sets(texts: list[str]) -> Iterator[set[str]]:
+    return ({m[0][i : i + 24] for m in re.finditer(r"[^\W_]+", t.lower()) for i in range(0, len(m[0]), 24)} for t in texts)
 
 
-def _unlike(sets: list[set[str]], k: int = 16) -> list[set[str]]:
+def _unlike(sets: Iterator[set[str]], k: int = 16) -> Iterator[set[str]]:
     """Sets less those that share half of their k least word hashes with an earlier one: copies are one witness."""
     seen: dict[int, list[int]] = defaultdict(list)
-    out = []
+    n = 0
     for s in sets:
         sketch = sorted(zlib.crc32(w.encode()) for w in s)[:k]
         met = Counter(i for h in sketch for i in seen[h])
         if not met or max(met.values()) * 2 < len(sketch):
             for h in sketch:
-                seen[h].append(len(out))
-            out.append(s)
-    return out
+                seen[h].append(n)
+            n += 1
+            yield s
 
 
 def _substrings(words: list[str], sizes: range) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -312,15 +333,16 @@ def suspects(toxic: list[str], clean: list[str], most: int = 64) -> list[str]:
     """Where the first guess at the toxic clauses comes from: substrings of words that many toxic and hardly any clean documents hold.  They are
     chosen one by one for the words that none before them is in; of those nearly as good as the best, the longest."""
     pos, neg = Counter(), Counter()
-    sets = _unlike(_word_sets(toxic))
-    for s in sets:
+    n = 0
+    for s in _unlike(_word_sets(toxic)):
         pos.update(s)
+        n += 1
     for s in _word_sets(clean):
         neg.update(s)
-    rate = len(sets) / max(1, len(clean))
-    words = sorted(w for w, n in pos.items() if len(w) >= 4 and neg[w] * rate <= 0.05 * n)
+    rate = n / max(1, len(clean))
+    words = sorted(w for w, k in pos.items() if len(w) >= 4 and neg[w] * rate <= 0.05 * k)
     df = np.array([pos[w] for w in words], float)
-    least = max(4.0, 0.015 * len(sets))
+    least = max(4.0, 0.015 * n)
     code, word, start, size = _substrings(words, range(4, 11))
     if not len(code):
         return []
@@ -329,8 +351,8 @@ def suspects(toxic: list[str], clean: list[str], most: int = 64) -> list[str]:
     against = np.zeros(len(names))
     plain = [w for w in neg if len(w) >= 4]
     weight = np.array([neg[w] for w in plain], float)
-    for i in range(0, len(plain), 20_000):
-        c, w, _, _ = _substrings(plain[i : i + 20_000], range(4, 11))
+    for i in range(0, len(plain), 4000):
+        c, w, _, _ = _substrings(plain[i : i + 4000], range(4, 11))
         k = np.minimum(np.searchsorted(names, c), len(names) - 1)
         hit = names[k] == c
         against += np.bincount(k[hit], weight[i + w[hit]], minlength=len(names))
@@ -360,27 +382,40 @@ def suspects(toxic: list[str], clean: list[str], most: int = 64) -> list[str]:
 def _svm(x: np.ndarray, y: np.ndarray, cost: float = COST, rounds: int = 40) -> tuple[np.ndarray, float]:
     """A linear SVM with squared hinge loss, by Newton's method; classes weigh alike."""
     cost *= max(1, (y > 0).sum())
-    a = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
     s = cost * np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
     plain = np.append(np.ones(x.shape[1]), 1e-6)
 
-    def loss(w: np.ndarray) -> float:
-        return 0.5 * (plain * w * w).sum() + (s * np.maximum(0, 1 - y * (a @ w)) ** 2).sum()
+    def some(i: int) -> np.ndarray:
+        """Rows of ``x`` and a one, in double precision: never all rows at once."""
+        part = x[i : i + 1024]
+        return np.hstack([part, np.ones((len(part), 1), x.dtype)]).astype(np.float64)
+
+    def slack_of(w: np.ndarray) -> np.ndarray:
+        return np.maximum(0, 1 - y * np.concatenate([some(i) @ w for i in range(0, len(x), 1024)]))
+
+    def loss(w: np.ndarray, slack: np.ndarray) -> float:
+        return 0.5 * (plain * w * w).sum() + (s * slack**2).sum()
 
-    w = np.zeros(a.shape[1])
-    now = loss(w)
+    w = np.zeros(len(plain))
+    slack = slack_of(w)
+    now = loss(w, slack)
     for _ in range(rounds):
-        slack = np.maximum(0, 1 - y * (a @ w))
-        inside = a[slack > 0]
-        grad = plain * w - 2 * (a.T @ (s * y * slack))
-        step = np.linalg.solve(np.diag(plain) + 2 * (inside.T * s[slack > 0]) @ inside, grad)
-        size, then = 1.0, loss(w - step)
+        grad, curve = plain * w, np.diag(plain)
+        for i in range(0, len(x), 1024):
+            a, k = some(i), slice(i, i + 1024)
+            grad -= 2 * (a.T @ (s[k] * y[k] * slack[k]))
+            a, weigh = a[slack[k] > 0], s[k][slack[k] > 0]
+            curve += 2 * (a.T * weigh) @ a
+        step = np.linalg.solve(curve, grad)
+        size, left = 1.0, slack_of(w - step)
+        then = loss(w - step, left)
         while then > now and size > 1e-3:
             size /= 2
-            then = loss(w - size * step)
+            left = slack_of(w - size * step)
+            then = loss(w - size * step, left)
         if then >= now * (1 - 1e-9):
             break
-        w, now = w - size * step, then
+        w, now, slack = w - size * step, then, left
     return w[:-1], float(w[-1])
 
 
@@ -415,9 +450,9 @@ def train(texts: list[str], labels: list[int], rates: tuple[float, float] = (1.0
     none = np.zeros(_CODES, np.float32)
     blank = Model([], none, none, 0.0, 0.0, float(min(np.log(share / (1 - share)), -0.1)) if texts else -30.0)
     words = [w.strip() for w in clauses_of(*_bytes(suspects(toxic, clean))).strings() if len(w) > ORDER] if toxic and clean else []
-    bad, good = clauses_of(*_bytes(toxic)), clauses_of(*_bytes(clean))
+    bad, good = clauses_in(toxic), clauses_in(clean)
     suspect = re.compile("|".join(map(re.escape, words)) or "(?!)")
-    mine = np.flatnonzero([suspect.search(x) is not None for x in bad.strings()])
+    mine = np.flatnonzero([suspect.search(x) is not None for part, _ in _parts(bad, 1 << 16) for x in part.strings()])
     if not len(mine) or not len(good):
         return blank
     rng = np.random.default_rng(seed)
@@ -431,8 +466,10 @@ def train(texts: list[str], labels: list[int], rates: tuple[float, float] = (1.0
     hard = easy[:0]
     for k in range(3):
         positive = marks.kernel(bad.pick(mine), rarity) @ root
-        x = np.vstack([positive, easy, hard])
-        w, model.bias = _svm(x, np.append(np.ones(len(positive)), -np.ones(len(x) - len(positive))).astype(np.float32))
+        x, n = np.vstack([positive, easy, hard]), len(positive)
+        del positive
+        w, model.bias = _svm(x, np.append(np.ones(n), -np.ones(len(x) - n)).astype(np.float32))
+        del x
         model.weight = marks.weights(root @ w)
         if k < 2:
             value = _bounds(model, bad) + model.bias
@@ -440,7 +477,7 @@ def train(texts: list[str], labels: list[int], rates: tuple[float, float] = (1.0
             mine = found if len(found) else mine
             hard = marks.kernel(good.pick(np.argsort(-_bounds(model, good), kind="stable")[: NEGATIVES // 2]), rarity) @ root
     # Calibration: a logistic curve through the decision values of the documents, by Newton's method; classes weigh as among all labels.
-    d = np.concatenate([model.decide(*_bytes(part[i : i + 64])) for part in (toxic, clean) for i in range(0, len(part), 64)])
+    d = np.concatenate([model.decide(*_bytes(run)) for part in (toxic, clean) for run in _runs(part)])
     y = np.append(np.full(len(toxic), 1 - 1 / (len(toxic) + 2)), np.full(len(clean), 1 / (len(clean) + 2)))
     weigh = np.append(np.full(len(toxic), 1 / rates[1]), np.full(len(clean), 1 / rates[0]))
     a, b = 1.0, 0.0
@@ -491,7 +528,10 @@ def fit(docs: DataFrame, labels: DataFrame, **columns) -> Model:
         got = sorted((i, t.decode(), y) for b in batches for i, y, t in zip(*(c.to_pylist() for c in b.columns)))
         y = [x[2] for x in got]
         rates = tuple(y.count(k) / max(1, count.get(k, 0)) or 1.0 for k in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([x[1] for x in got], y, rates))], pa.binary())], names=["model"])
+        model = pickle.dumps(train([x[1] for x in got], y, rates))
+        del got
+        give_back()
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
 
     made = rows.select("id", "y", F.col("t").cast("binary")).coalesce(1).mapInArrow(run, "model binary").first()
     return train([], []) if made is None else pickle.loads(made.model)  # no rows may mean no task
