@@ -68,8 +68,8 @@ def sketch(features: Column, size: int = SKETCH) -> Column:
 
 
 def _keys(blocks: list[Column]) -> Column:
-    """Hashes of every choice of AGREE blocks; missing blocks are null."""
-    return F.array_compact(F.array(*[F.when(x[-1].isNotNull(), F.xxhash64(*x)) for x in combinations(blocks, AGREE)]))
+    """Hashes of every choice of AGREE blocks; null where blocks are missing."""
+    return F.array(*[F.when(x[-1].isNotNull(), F.xxhash64(*x)) for x in combinations(blocks, AGREE)])
 
 
 def _pieces(norm: Column) -> Column:
@@ -198,7 +198,8 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     place = F.xxhash64(*_PLACE)
     classes = rows.groupBy("node").agg(*[F.min(b).alias(b) for b in blocks], F.count(F.lit(1)).alias("n"), F.min(place).alias("home"))
     classes = cut(classes, "line-classes")
-    buckets = shared_buckets(classes.select("node", F.explode(_keys([F.col(b) for b in blocks])).alias("bucket")), "line-buckets")
+    keys = classes.select("node", F.explode(_keys([F.col(b) for b in blocks])).alias("bucket")).where("bucket is not null")
+    buckets = shared_buckets(keys, "line-buckets")
     wanted = cut(buckets.select("node").dropDuplicates().join(classes, "node").select("node", "home"), "line-wanted")
     again = maybe_in(_lines(src).withColumn("home", place), F.col("home"), wanted, F.col("home"))
     again = _once(again, ["home"], normal_line(F.col("line")), "norm").select("home", "norm", node.alias("node"))
