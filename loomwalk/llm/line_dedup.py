@@ -32,8 +32,10 @@ _NO_ID = -(1 << 63)
 
 #: Scripts that are written without spaces: their features are pairs of characters.
 _DENSE = r"\x{E00}-\x{EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{2FDF}\x{3005}-\x{3007}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9F}\x{20000}-\x{3FFFF}"
-#: Letters and digits: all but the rest of ASCII and the punctuation of Latin-1, of Unicode and of full width.  The common ones come first.
-_WORD = r"a-z0-9[\xAA\xB5\xBA\xC0-\x{1FFF}\x{2070}-\x{2FFF}\x{3005}-\x{3007}\x{3040}-\x{30FA}\x{30FC}-\x{FEFF}\x{FF10}-\x{FF19}\x{FF21}-\x{FF3A}\x{FF41}-\x{FF5A}\x{FF66}-\x{10FFFF}]"
+#: Letters and digits: all but the rest of ASCII and the punctuation of Latin-1, of Unicode and of full width.  Those of Latin-1 are a class of their own, and come
+#: one by one: Java makes a table of them, which it looks into first.
+_LATIN = "abcdefghijklmnopqrstuvwxyz0123456789" + "".join(map(chr, (0xAA, 0xB5, 0xBA, *range(0xC0, 0x100))))
+_WORD = rf"[{_LATIN}][\x{{100}}-\x{{1FFF}}\x{{2070}}-\x{{2FFF}}\x{{3005}}-\x{{3007}}\x{{3040}}-\x{{30FA}}\x{{30FC}}-\x{{FEFF}}\x{{FF10}}-\x{{FF19}}\x{{FF21}}-\x{{FF3A}}\x{{FF41}}-\x{{FF5A}}\x{{FF66}}-\x{{10FFFF}}]"
 
 
 def _once(df: DataFrame, keep: list[str], value: Column, name: str) -> DataFrame:
@@ -46,9 +48,14 @@ def lines_of(text: Column) -> Column:
     return F.split(text, r"(?<=\n)")
 
 
+def words_of(line: Column) -> Column:
+    """The lower-cased words of a line."""
+    return F.regexp_extract_all(F.lower(line), F.lit(f"[{_WORD}]+"), F.lit(0))
+
+
 def normal_line(line: Column) -> Column:
     """The lower-cased words of a line with one space between two of them."""
-    return F.trim(F.regexp_replace(F.lower(line), f"[^{_WORD} ][^{_WORD}]*| [^{_WORD}]+", " "))
+    return F.array_join(words_of(line), " ")
 
 
 def _dense(norm: Column) -> Column:
@@ -56,15 +63,24 @@ def _dense(norm: Column) -> Column:
     return F.octet_length(norm) > 2 * F.length(norm)
 
 
-def features_of(norm: Column) -> Column:
+def features_of(norm: Column, words: Column | None = None) -> Column:
     """The words of a line; in scripts without spaces, its pairs of neighbouring characters."""
-    return F.when(_dense(norm), F.regexp_extract_all(norm, F.lit(r"(?=(\S\S))"), F.lit(1))).otherwise(F.split(norm, " "))
+    words = F.split(norm, " ") if words is None else words
+    return F.when(_dense(norm), F.regexp_extract_all(norm, F.lit(r"(?=(\S\S))"), F.lit(1))).otherwise(words)
+
+
+def ranks_of(features: Column) -> Column:
+    """Hashes of features, each halved for every byte, so that long words, which are mostly rare, come first."""
+    return F.transform(features, lambda w: F.call_function("shiftrightunsigned", F.xxhash64(w), F.octet_length(w)))
 
 
 def sketch(features: Column, size: int = SKETCH) -> Column:
-    """The blocks of a line: the ``size`` least hashes of its features, each halved for every byte, so that long words, which are mostly rare, come first."""
-    rank = lambda w: F.call_function("shiftrightunsigned", F.xxhash64(w), F.octet_length(w))
-    return F.slice(F.sort_array(F.array_distinct(F.transform(features, rank))), 1, size)
+    """The blocks of a line: the ``size`` least ranks of its features."""
+    return least(ranks_of(features), size)
+
+
+def least(ranks: Column, size: int = SKETCH) -> Column:
+    return F.slice(F.sort_array(F.array_distinct(ranks)), 1, size)
 
 
 def _keys(blocks: list[Column]) -> Column:
@@ -171,6 +187,20 @@ def _lines(src: DataFrame) -> DataFrame:
 _PLACE = ["doc_id", "mark", "pos"]
 
 
+def _node(norm: Column) -> Column:
+    return F.unhex(F.md5(norm.cast("binary")))
+
+
+def _sketched(src: DataFrame) -> DataFrame:
+    """(doc_id, mark, pos, node, s0, s1, ...): the lines that have words, with a hash of all words and their blocks."""
+    found = _once(_lines(src), _PLACE, words_of(F.col("line")), "words").where("size(words) > 0")
+    found = _once(found, [*_PLACE, "words"], F.array_join("words", " "), "norm")
+    # A generator with a lambda is interpreted, with all that it computes; so the lambda stands before it.
+    found = found.select(*_PLACE, _node(F.col("norm")).alias("node"), ranks_of(features_of(F.col("norm"), F.col("words"))).alias("ranks"))
+    found = _once(found, [*_PLACE, "node"], least(F.col("ranks")), "sketch")
+    return found.select(*_PLACE, "node", *[F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(SKETCH)])
+
+
 def _drop_lists(rows: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
     """(doc_id, mark, drop) from the places (doc_id, mark, pos, node), the distinct lines (node, n) and the groups (node, component) of the linked ones."""
     # Only lines that are linked or occur twice matter from here on.
@@ -190,11 +220,8 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     Documents are read twice: for the sketches of all lines, and for the characters of those that share a key with another line."""
     src = _documents(docs, id_col, text_col)
-    node = F.unhex(F.md5(F.col("norm").cast("binary")))
-    found = _once(_lines(src), _PLACE, normal_line(F.col("line")), "norm").where("norm <> ''")
-    found = _once(found, [*_PLACE, "norm"], sketch(features_of(F.col("norm"))), "sketch")
+    rows = cut(_sketched(src), "line-rows")
     blocks = [f"s{i}" for i in range(SKETCH)]
-    rows = cut(found.select(*_PLACE, node.alias("node"), *[F.get("sketch", F.lit(i)).alias(b) for i, b in enumerate(blocks)]), "line-rows")
     place = F.xxhash64(*_PLACE)
     classes = rows.groupBy("node").agg(*[F.min(b).alias(b) for b in blocks], F.count(F.lit(1)).alias("n"), F.min(place).alias("home"))
     classes = cut(classes, "line-classes")
@@ -202,7 +229,7 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     buckets = shared_buckets(keys, "line-buckets")
     wanted = cut(buckets.select("node").dropDuplicates().join(classes, "node").select("node", "home"), "line-wanted")
     again = maybe_in(_lines(src).withColumn("home", place), F.col("home"), wanted, F.col("home"))
-    again = _once(again, ["home"], normal_line(F.col("line")), "norm").select("home", "norm", node.alias("node"))
+    again = _once(again, ["home"], normal_line(F.col("line")), "norm").select("home", "norm", _node(F.col("norm")).alias("node"))
     chars = F.length("norm")
     texts = again.join(wanted, ["node", "home"]).dropDuplicates(["node"])
     about = F.struct(chars.alias("size"), sketch(features_of(F.col("norm")), LARGE).alias("blocks"))
