@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import bounded_batches, fresh_path
+
 #: Values of one side of a block: 4 M floats are 16 MB.
 BLOCK_VALUES = 1 << 22
 DIGITS = 6
@@ -44,13 +46,122 @@ def _blocks(x: np.ndarray, columns: int) -> Iterator[np.ndarray]:
         yield x[i : i + step]
 
 
-def _scores(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
-    """Larger is nearer."""
-    if metric == "ip":
-        return a @ b.T
-    if metric == "l2":
-        return -np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T), 0)
-    raise ValueError(f"unknown metric {metric}")
+#: Vectors of one packed row, and of the index that are multiplied at a time; queries that are multiplied at a time; the least queries of a task.
+PACK_ROWS, INDEX_ROWS, QUERY_ROWS, TASK_ROWS = 1024, 4096, 512, 2048
+#: Vectors longer than this, or not finite, are scored in double precision only.
+TAME = 1e15
+
+
+class Nearest:
+    """The ``k`` nearest of a block of queries, kept while the index passes by in any order and in pieces of any size.
+
+    A product in single precision finds what can be among the ``k`` at all: its error is bounded by the lengths of the vectors, and what comes within
+    that bound of the worst of the ``k`` is scored in double precision, rounded and ranked (ties: smaller id).  So the result is that of double precision."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, groups: list | None, k: int, metric: str, same_id: bool):
+        if metric not in ("ip", "l2"):
+            raise ValueError(f"unknown metric {metric}")
+        self.ids, self.v, self.k, self.l2, self.same_id = ids, v, k, metric == "l2", same_id
+        self.code = {g: i for i, g in enumerate(dict.fromkeys(groups))} if groups is not None else None
+        self.groups = np.array([self.code[g] for g in groups], np.int64) if groups is not None else None
+        self.score, self.found = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.norm = np.sqrt((v.astype(np.float64) ** 2).sum(1))
+        self.wild = ~(self.norm < TAME)
+        ones = np.ones((len(v), 1), np.float32)
+        self.left = np.concatenate([v, ones], axis=1) if self.l2 else v
+
+    def feed(self, ids: np.ndarray, v: np.ndarray, groups: list | None) -> None:
+        with np.errstate(all="ignore"):
+            for i in range(0, len(ids), INDEX_ROWS):
+                self._feed(ids[i : i + INDEX_ROWS], v[i : i + INDEX_ROWS], groups[i : i + INDEX_ROWS] if groups is not None else None)
+
+    def _feed(self, ids: np.ndarray, v: np.ndarray, groups: list | None) -> None:
+        squares = (v.astype(np.float64) ** 2).sum(1)
+        wild = ~(squares < TAME * TAME)
+        right = np.concatenate([v, (-squares / 2).astype(np.float32)[:, None]], axis=1) if self.l2 else v
+        of = np.array([self.code.get(g, -1) for g in groups], np.int64) if self.code is not None else None
+        longest = np.sqrt(squares[~wild].max(initial=0))
+        for i in range(0, len(self.ids), QUERY_ROWS):
+            at = slice(i, min(i + QUERY_ROWS, len(self.ids)))
+            s = self.left[at] @ right.T
+            if wild.any():
+                s[:, wild] = -np.inf
+            if of is not None:
+                s[self.groups[at][:, None] == of[None, :]] = -np.inf
+            size = self.norm[at]
+            error = (v.shape[1] + 8) * 2.0**-24 * (size * longest + (longest**2 / 2 if self.l2 else 0)) + 1e-6 + (1e-12 * size**2 if self.l2 else 0)
+            worst = self.score[at, -1]
+            least = ((worst + size**2) / 2 if self.l2 else worst) - error
+            few = np.flatnonzero(worst == -np.inf)
+            if len(few) and len(ids) > self.k:  # no bound yet: the k-th of this piece is one
+                t = s[few]
+                if self.same_id:
+                    t[self.ids[at][few][:, None] == ids[None, :]] = -np.inf
+                least[few] = np.partition(t, len(ids) - self.k, axis=1)[:, -self.k] - 2 * error[few]
+            least[self.wild[at]] = -np.inf
+            least = np.maximum(np.nextafter(least.astype(np.float32), np.float32(-np.inf)), np.finfo(np.float32).min)
+            if wild.any():
+                s[:, wild] = np.inf
+            if self.wild[at].any():
+                s[self.wild[at]] = np.inf
+            rows = np.flatnonzero(s.max(axis=1) >= least)
+            if len(rows):
+                r, c = np.nonzero(s[rows] >= least[rows, None])
+                r = rows[r] + i
+                for j in range(0, len(r), 1 << 16):
+                    self._take(r[j : j + (1 << 16)], c[j : j + (1 << 16)], ids, v, of)
+
+    def _take(self, r: np.ndarray, c: np.ndarray, ids: np.ndarray, v: np.ndarray, of: np.ndarray | None) -> None:
+        ok = np.ones(len(r), bool)
+        if self.same_id:
+            ok &= self.ids[r] != ids[c]
+        if of is not None:
+            ok &= self.groups[r] != of[c]
+        r, c = r[ok], c[ok]
+        a, b = self.v[r].astype(np.float64), v[c].astype(np.float64)
+        score = np.round(-((a - b) ** 2).sum(1) if self.l2 else (a * b).sum(1), DIGITS)
+        n, worst = ids[c], self.score[r, -1]
+        ok = (score > worst) | (score == worst) & (score > -np.inf) & (n < self.found[r, -1])
+        r, n, score = r[ok], n[ok], score[ok]
+        if not len(r):
+            return
+        u, own = np.unique(r, return_inverse=True)
+        row = np.concatenate([np.repeat(np.arange(len(u)), self.k), own])
+        score, n = np.concatenate([self.score[u].ravel(), score]), np.concatenate([self.found[u].ravel(), n])
+        order = np.lexsort((n, -score, row))
+        top = order[np.searchsorted(row[order], np.arange(len(u)))[:, None] + np.arange(self.k)]
+        self.score[u], self.found[u] = score[top], n[top]
+
+    def result(self, step: int = 1 << 13) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(self.ids), step):
+            score, n = self.score[i : i + step], self.found[i : i + step]
+            ok = score > -np.inf
+            q = np.broadcast_to(self.ids[i : i + step, None], score.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(q[ok]), pa.array(n[ok]), pa.array(score[ok])], names=["q", "n", "score"])
+
+
+def _packed(df: DataFrame, id_col: str, vector_col: str, group_col: str | None, block_values: int, name: str) -> DataFrame:
+    """(at, size, width, ids, v, g): vectors, many to a row, as bytes; written to the shared folder."""
+    g = F.col(group_col).cast("string") if group_col else F.lit(None).cast("string")
+    src = df.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), g.alias("g"), F.col(vector_col).cast("array<float>").alias("v"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for b in batches:
+            width = len(b.column(2).flatten()) // max(1, b.num_rows)
+            step = max(1, min(PACK_ROWS, block_values // max(1, width)))
+            for i in range(0, b.num_rows, step):
+                part = b.slice(i, step)
+                v = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+                row = [[at], [part.num_rows], [width], [part.column(0).to_numpy().astype(np.int64).tobytes()], [v.reshape(part.num_rows, width).tobytes()], [part.column(1).to_pylist() if group_col else None]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.string())))], names=["at", "size", "width", "ids", "v", "g"])
+                at += 1
+
+    schema = "at long, size long, width long, ids binary, v binary, g array<string>"
+    rows = src.mapInArrow(pack, schema).withColumn("at", F.col("at") + F.spark_partition_id())  # the partitions begin at different blocks
+    path = fresh_path(df.sparkSession, name)
+    rows.write.option("parquet.block.size", 16 << 20).option("parquet.enable.dictionary", "false").parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
 
 
 def exact_knn(queries: DataFrame, index: DataFrame, k: int, *, metric: str = "ip", same_id: bool = True, id_col: str = "vec_id", vector_col: str = "embedding", group_col: str | None = None, block_values: int = BLOCK_VALUES) -> DataFrame:
@@ -60,52 +171,50 @@ def exact_knn(queries: DataFrame, index: DataFrame, k: int, *, metric: str = "ip
     and ties go to the smaller id.  With ``same_id`` queries and index share ids and a vector is no neighbour of itself; with ``group_col``
     neighbours of the same group do not count.  Null vectors are left out.
 
-    Both sides are dealt into blocks of bounded size; each pair of blocks is one task's matrix product, which returns k
-    candidates for each query, and the candidates of a query are ranked once more.  No side is broadcast or collected.
+    Queries are dealt into blocks of bounded size, one to a task, and the index streams through each of them in pieces; a task holds its block, the ``k`` best of
+    each of its queries and a piece of the index.  There are as many blocks as keep all cores busy, more only where blocks would exceed ``block_values``, so
+    the index moves as often as there are cores.  No side is broadcast or collected.
     """
+    bounded_batches(queries.sparkSession)
+    q = _packed(queries, id_col, vector_col, group_col, block_values, "knn-queries")
+    x = q if index is queries else _packed(index, id_col, vector_col, group_col, block_values, "knn-index")
+    rows, values = q.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum(F.col("size") * F.col("width")), F.lit(0))).first()
+    blocks = max(1, -(-values // block_values), min(2 * queries.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)))
+    own = q.select(F.lit(0).alias("side"), F.pmod("at", F.lit(blocks)).cast("int").alias("block"), "width", "ids", "v", "g")
+    every = x.select(F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "width", "ids", "v", "g")
+    dealt = own.unionByName(every).repartitionById(blocks, "block").sortWithinPartitions("side")
+    grouped = group_col is not None
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries come first."""
+        held, many, near = ([], [], []), 0, None
+
+        def taken() -> tuple[np.ndarray, np.ndarray, list | None]:
+            out = np.concatenate(held[0]), np.concatenate(held[1]), [g for part in held[2] for g in part] if grouped else None
+            for part in held:
+                part.clear()
+            return out
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        g = F.col(group_col).cast("string") if group_col else F.lit(None).cast("string")
-        return df.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), g.alias("g"), F.col(vector_col).cast("array<float>").alias("v"), F.lit(name).alias("side"))
-
-    def blocks(df: DataFrame) -> int:
-        n, width = df.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-        return max(1, -(-(n * (width or 1)) // block_values))
-
-    q, x = side(queries, "q"), side(index, "x")
-    nq, nx = blocks(q), blocks(x)
-    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = q.withColumn("bq", deal(nq)).withColumn("bx", every(nx)).unionByName(x.withColumn("bx", deal(nx)).withColumn("bq", every(nq)))
-
-    def search(table: pa.Table) -> pa.Table:
-        is_q = table["side"].to_numpy() == "q"
-        left, right = table.filter(pa.array(is_q)), table.filter(pa.array(~is_q))
-        out = ([], [], [])
-        if len(left) and len(right):
-            order = np.argsort(right["id"].to_numpy(), kind="stable")
-            right = right.take(pa.array(order))
-            b, ids = _matrix(right["v"]), right["id"].to_numpy()
-            groups = np.array(right["g"].to_pylist(), object)
-            for i in range(0, len(left), 1024):
-                part = left.slice(i, 1024)
-                s = np.round(_scores(_matrix(part["v"]), b, metric), DIGITS)
-                own = part["id"].to_numpy()
-                if same_id:
-                    s[own[:, None] == ids[None, :]] = -np.inf
-                if group_col:
-                    s[np.array(part["g"].to_pylist(), object)[:, None] == groups[None, :]] = -np.inf
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]  # stable: of equal scores, the smaller id
-                value = np.take_along_axis(s, top, 1)
-                ok = value > -np.inf
-                out[0].append(np.repeat(own, top.shape[1])[ok.ravel()])
-                out[1].append(ids[top][ok])
-                out[2].append(value[ok])
-        kinds = (np.int64, np.int64, np.float64)
-        return pa.table({n: np.concatenate(c) if c else np.zeros(0, t) for n, c, t in zip(("q", "n", "score"), out, kinds)})
-
-    found = dealt.groupBy("bq", "bx").applyInArrow(search, "q long, n long, score double")
-    return best(found, k, metric)
+        for b in batches:
+            for side, width, ids, v, g in zip(*(b.column(i) for i in (0, 2, 3, 4, 5))):
+                if side.as_py() and near is None:
+                    if not held[0]:
+                        return
+                    near, many = Nearest(*taken(), k, metric, same_id), 0
+                held[0].append(np.frombuffer(ids.as_py(), np.int64))
+                held[1].append(np.frombuffer(v.as_py(), np.float32).reshape(-1, width.as_py()))
+                if grouped:
+                    held[2].append(g.as_py())
+                many += len(held[0][-1])
+                if near is not None and many >= INDEX_ROWS:
+                    near.feed(*taken())
+                    many = 0
+        if near is not None:
+            if many:
+                near.feed(*taken())
+            yield from near.result()
+
+    return best(dealt.mapInArrow(search, "q long, n long, score double"), k, metric)
 
 
 def best(candidates: DataFrame, k: int, metric: str = "ip") -> DataFrame:

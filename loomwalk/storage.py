@@ -44,6 +44,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of one Arrow batch handed to a Python worker.
+BATCH_BYTES = 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, so that rows of many vectors cannot fill a Python worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key)).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def ranges(df: DataFrame, *order: str, name: str = "ranges") -> DataFrame:
     """``df`` dealt out by ranges of ``order``, with the range's number in ``__range``; written out, so that the ranges stay."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
