@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -284,23 +285,18 @@ def ivf_knn(queries: DataFrame, index: DataFrame, k: int, *, cells: int | None =
     q = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cell", "part", "id", "v", F.lit(True).alias("is_q"))
 
     def search(table: pa.Table) -> pa.Table:
-        is_q = np.array(table["is_q"].to_pylist(), bool)
-        left, right = table.filter(pa.array(is_q)), table.filter(pa.array(~is_q))
-        out = ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)])
+        table = table.combine_chunks()
+        is_q = table["is_q"].combine_chunks()
+        left, right = table.filter(is_q), table.filter(pc.invert(is_q))
+        vectors = lambda t: t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(t), -1)
+        out = []
         if len(left) and len(right):
-            right = right.sort_by("id")
-            b, ids = _matrix(right["v"]), right["id"].to_numpy()
-            for i in range(0, len(left), 1024):
-                part = left.slice(i, 1024)
-                s, own = np.round(_matrix(part["v"]) @ b.T, DIGITS), part["id"].to_numpy()
-                if same_id:
-                    s[own[:, None] == ids[None, :]] = -np.inf
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                value = np.take_along_axis(s, top, 1)
-                ok = value > -np.inf
-                for to, c in zip(out, (np.repeat(own, top.shape[1])[ok.ravel()], ids[top][ok], value[ok])):
-                    to.append(c)
-        return pa.table({n: np.concatenate(c) for n, c in zip(("q", "n", "score"), out)})
+            v, ids, asked = vectors(right), right["id"].to_numpy(), vectors(left)
+            for i in range(0, len(left), TASK_ROWS):
+                near = Nearest(left["id"].to_numpy()[i : i + TASK_ROWS], asked[i : i + TASK_ROWS], None, k, "ip", same_id)
+                near.feed(ids, v, None)
+                out.extend(near.result())
+        return pa.Table.from_batches(out, pa.schema([("q", pa.int64()), ("n", pa.int64()), ("score", pa.float64())]))
 
     found = q.unionByName(x).groupBy("cell", "part").applyInArrow(search, "q long, n long, score double")
     return best(found, k)
